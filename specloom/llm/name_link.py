@@ -25,8 +25,10 @@ from specloom.session import checked_broadcast, cut
 #: Edits allowed between two full cores, and the first letters that are cut into K + 1 segments.
 K = 2
 SEGMENTS = ((0, 3), (3, 6), (6, 10))
-#: One edit more is accepted where two cores of this length meet anyway.
+#: One edit more is accepted between cores of this length if the edits are slips (letters dropped, doubled or
+#: swapped, at most one replaced): names of different makers differ by letters replaced.
 LONG = 12
+SLIP, SLIPS = 0.75, 2.5
 #: Cores in one trie.
 BLOCK = 20_000
 #: A place named by one entry in so many counts as a place wherever it stands.
@@ -92,21 +94,17 @@ def core(raw: str | None, places: set[str]) -> tuple[str, list[str]]:
     return "short", whole + cut_off[:1]
 
 
-def distance(a: str, b: str, k: int) -> int:
-    """Edits between a and b with adjacent swaps as one; k + 1 if more than k."""
-    if abs(len(a) - len(b)) > k:
-        return k + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
+def slips(a: str, b: str) -> float:
+    """The distance with dropped, added and swapped letters at SLIP each, replaced ones at 1."""
+    before: list[float] = []
+    row = [SLIP * j for j in range(len(b) + 1)]
     for i in range(1, len(a) + 1):
-        last, row = row, [i] + [0] * len(b)
+        last, row = row, [SLIP * i] + [0.0] * len(b)
         for j in range(1, len(b) + 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (a[i - 1] != b[j - 1]))
+            row[j] = min(last[j] + SLIP, row[j - 1] + SLIP, last[j - 1] + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                row[j] = min(row[j], before[j - 2] + 1)
+                row[j] = min(row[j], before[j - 2] + SLIP)
         before = last
-        if min(row) > k:
-            return k + 1
     return row[-1]
 
 
@@ -177,7 +175,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 trie.add(name)
             elif trie.root:
                 for other, d in trie.within(form, _allowed(len(form))):
-                    if other != name and d <= _allowed(len(other)):
+                    if other != name and d <= _allowed(len(other)) and (d <= K or slips(form, other) <= SLIPS):
                         out.add((min(name, other), max(name, other)))
         yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
