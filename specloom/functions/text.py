@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.schema import UNITS
+from specloom.schema import COLUMNS, UNITS
 
 W = r"[\p{L}\p{N}_]"
 #: Fixed values. A word that reads as ГОСТ in any mix of alphabets and digits.
@@ -32,6 +32,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def strip(c: Column | str) -> Column:
+    """Without blanks of any kind at the ends; '' for null."""
+    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+
+
 def each(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     for pattern, to in rules:
         c = F.regexp_replace(c, pattern, to)
@@ -92,7 +97,11 @@ def number_pattern_rules() -> list[tuple[str, str]]:
 
 def normalize_cell(key: str, c: Column | str, compat: bool = False) -> Column:
     """The text of a cell by the rules of its column; spelling correction is an operator of its own."""
-    s = clean_text(c, compat)
+    return column_rules(key, clean_text(c, compat))
+
+
+def column_rules(key: str, s: Column) -> Column:
+    """The rules of a column for a text that is clean already."""
     if key in ("name", "note"):
         s = each(s, [(r"(?U)^[-–—]\s*[_~]+\s*", "- "), (r"(?U)\b6\s+(?=компл\.)", "в ")])
     if key == "manufacturer":
@@ -108,15 +117,13 @@ def normalize_cell(key: str, c: Column | str, compat: bool = False) -> Column:
     return s
 
 
-def normalize_by_key(key: Column, c: Column, compat: bool = False) -> Column:
-    """normalize_cell for rows that name their column."""
-    from specloom.schema import COLUMNS
-
-    out = clean_text(c, compat)
+def normalize_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with ``value`` normalised by the column that each row names, in two steps so that no rule is computed twice."""
+    out = F.col("_clean")
     for k in COLUMNS:
-        if k != "code" and k != "position_no":
-            out = F.when(key == k, normalize_cell(k, c, compat)).otherwise(out)
-    return out
+        if k not in ("code", "position_no"):
+            out = F.when(F.col(key) == k, column_rules(k, F.col("_clean"))).otherwise(out)
+    return df.withColumn("_clean", clean_text(value)).withColumn(value, out).drop("_clean")
 
 
 def plausibility(key: Column, value: Column) -> Column:

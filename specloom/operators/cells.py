@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import NUMBER, ORDINARY, confidence, normalize_by_key, plausibility, text
+from specloom.functions.text import NUMBER, ORDINARY, confidence, normalize_by_key, plausibility, strip, text
 from specloom.schema import COLUMNS, NUMERIC, THRESHOLDS, UNITS, Profile
 from specloom.session import checked_broadcast
 
@@ -24,7 +24,7 @@ def bucket_tokens(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile
     A centre on a line belongs to the cell left of or above it. One equi-join on the page and axis with a
     range residual each: small grids are broadcast after a count, large ones shuffled by page.
     """
-    centred = tokens.where(F.trim(text("text")) != "").withColumn("cx", F.col("left_px") + F.col("width_px") / 2).withColumn("cy", F.col("top_px") + F.col("height_px") / 2)
+    centred = tokens.where(strip("text") != "").withColumn("cx", F.col("left_px") + F.col("width_px") / 2).withColumn("cy", F.col("top_px") + F.col("height_px") / 2)
     cols = checked_broadcast(axis(grid, "x_lines", "col_no", "x0", "x1").where(F.col("col_no") < len(profile.columns)))
     rows = checked_broadcast(axis(grid, "y_lines", "row_no", "y0", "y1").where(F.col("row_no") >= profile.header_rows))
     placed = centred.join(cols, PAGE).where((F.col("cx") > F.col("x0")) & (F.col("cx") <= F.col("x1")))
@@ -37,7 +37,7 @@ def cell_texts(placed: DataFrame) -> DataFrame:
 
     A word delivered twice counts once. The text isn't normalised yet.
     """
-    word = F.struct("block_num", "par_num", "line_num", "word_num", F.trim("text").alias("t"), confidence("conf").alias("c"))
+    word = F.struct("block_num", "par_num", "line_num", "word_num", strip("text").alias("t"), confidence("conf").alias("c"))
     words = F.array_sort(F.array_distinct(F.collect_list(word)))
     grouped = placed.groupBy(*PAGE, "row_no", "col_no", "pass_name", "pass_ordinal").agg(words.alias("w"))
     mean = F.aggregate("w", F.lit(0.0), lambda a, x: a + x["c"]) / F.size("w")
@@ -69,7 +69,7 @@ def choose_reading(candidates: DataFrame, by: list[str], ordinal: str, key: str
 
 def remove_noise(key: Column, value: Column, conf: Column) -> Column:
     """'' for what is dirt in its column, else the value."""
-    compact = F.lower(F.trim(value))
+    compact = F.lower(strip(value))
     dirt = ~key.isin(*NUMERIC) & compact.isin("о", "o", "0", "_", "|", ".") & (conf < 72)
     unit = (key == "unit") & ~F.lower(value).isin(*UNITS, "комплект") & (F.length(value) <= 5)
     position = (key == "position_no") & ~value.rlike("[0-9IVXLСА-ЯA-Z]")
@@ -112,7 +112,7 @@ def back_fill(rows: DataFrame, unit_again: str, quantity_again: str, unit_confid
 def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """document_id, page, row_no, column_key, text, confidence, source of every cell that has words."""
     cells = cell_texts(bucket_tokens(tokens, grid, profile)).withColumn("column_key", key_of(F.col("col_no"), profile))
-    normal = cells.withColumn("text", normalize_by_key(F.col("column_key"), F.col("text"))).withColumnRenamed("pass_name", "source")
+    normal = normalize_by_key(cells, "column_key", "text").withColumnRenamed("pass_name", "source")
     best = choose_reading(normal, [*PAGE, "row_no", "column_key"], "pass_ordinal")
     value = remove_noise(F.col("column_key"), F.col("text"), F.col("confidence"))
     return best.withColumn("text", value).withColumn("confidence", F.round(F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0), 1))
@@ -126,7 +126,7 @@ def wide_rows(cells: DataFrame, grid: DataFrame) -> DataFrame:
         F.create_map(*[x for k in COLUMNS for x in (F.lit(k), of(k, "confidence", 0.0))]).alias("confidences"),
         F.create_map(*[x for k in COLUMNS for x in (F.lit(k), of(k, "source", "none"))]).alias("ocr_sources"),
     )
-    wide = wide.where(F.trim(F.concat(*COLUMNS)) != "")
+    wide = wide.where(strip(F.concat(*COLUMNS)) != "")
     pages = checked_broadcast(grid.select(*PAGE, "image_width", "image_height", "x_lines", "y_lines"))
     x0, x1 = F.get("x_lines", F.lit(0)), F.element_at("x_lines", -1)
     y0, y1 = F.get(F.col("y_lines"), F.col("row_no")), F.get(F.col("y_lines"), F.col("row_no") + 1)

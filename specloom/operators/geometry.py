@@ -38,23 +38,21 @@ def best_columns(candidates: DataFrame, by: list[str], line: str, width: str, ra
     return c.groupBy(*by).agg(F.coalesce(best, first).alias("lines"))
 
 
-def trim_footer(lines: Column) -> Column:
-    """Sorted lines up to the first gap, from the third on, over 2.15 times the median of the regular gaps (below the upper quartile)."""
-    gaps = F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda i: (F.get(lines, i) - F.get(lines, i - 1)).cast("double"))
-    quartile = quantile(gaps, 0.75)
-    regular = F.filter(gaps, lambda g: g < quartile)
-    median = F.when(F.size(regular) > 0, quantile(regular, 0.5)).otherwise(quantile(gaps, 0.5))
-    cut = F.array_min(F.filter(F.sequence(F.lit(2), F.size(gaps) - 1), lambda i: F.get(gaps, i) > median * 2.15))
-    return F.when(F.size(lines) < 5, lines).otherwise(F.when(cut.isNotNull(), F.slice(lines, F.lit(1), cut + 1)).otherwise(lines))
-
-
-def quantile(values: Column, q: float) -> Column:
-    """The interpolated quantile of an array."""
-    s = F.array_sort(values)
-    at = (F.size(s) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
-    return a + (b - a) * (at - low)
+def trim_footer(pages: DataFrame, by: list[str], lines: str) -> DataFrame:
+    """by, lines: sorted lines up to the first gap, from the third on, over 2.15 times the median of the regular gaps.
+
+    Regular gaps are below the upper quartile; without any, all count. Fewer than five lines stay as they
+    are. One shuffle by page serves all windows.
+    """
+    w = Window.partitionBy(*by)
+    at = pages.select(*by, F.posexplode(lines).alias("i", "line"))
+    gap = (F.lead("line").over(w.orderBy("i")) - F.col("line")).cast("double")
+    at = at.withColumn("gap", gap).withColumn("quartile", F.percentile("gap", F.lit(0.75)).over(w)).withColumn("all", F.percentile("gap", F.lit(0.5)).over(w))
+    at = at.withColumn("regular", F.percentile(F.when(F.col("gap") < F.col("quartile"), F.col("gap")), F.lit(0.5)).over(w))
+    large = (F.col("i") >= 2) & (F.col("gap") > F.coalesce("regular", "all") * 2.15)
+    at = at.withColumn("cut", F.min(F.when(large, F.col("i"))).over(w)).withColumn("n", F.count("*").over(w))
+    kept = at.where((F.col("n") < 5) | F.col("cut").isNull() | (F.col("i") <= F.col("cut")))
+    return kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
 
 
 def expand_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import text
+from specloom.functions.text import strip, text
 from specloom.schema import COLUMNS, SECTION_STEMS
-from specloom.session import checked_broadcast
+from specloom.session import checked_broadcast, cut
 
 #: Fixed value. The code of a system.
 SYSTEM = r"(?iu)^(?:[ПВКЕBPK]{1,4}\d+(?:[.,]\d+)?|К\d+(?:\.\d+)*)$"
@@ -20,7 +20,7 @@ def row_number_of(source_row: Column) -> Column:
 
 
 def filled(*columns: str) -> Column:
-    return F.concat(*[F.trim(text(c)) for c in columns]) != ""
+    return F.concat(*[strip(c) for c in columns]) != ""
 
 
 def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> DataFrame:
@@ -34,7 +34,7 @@ def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> D
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     r = rows
     for c in COLUMNS:
-        r = r.withColumn(c, F.trim(text(c)))
+        r = r.withColumn(c, strip(c))
     own = F.concat("position_no", "type_mark", "code", "manufacturer", "unit", "quantity", "mass") != ""
     n = F.row_number().over(w)
     tail = F.when(F.col("name") != "", F.col("name").rlike(r"[,;-]$")).when(F.col("own") | (F.col("n") == 1), False)
@@ -45,7 +45,7 @@ def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> D
     r = r.withColumn("joins", joins).withColumn("island", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
     kept = [c for c in rows.columns if c not in (*COLUMNS, *page, "confidences", "bbox", "source_row")]
     first = lambda c: F.min_by(F.col(c), F.col("n")).alias(c)
-    parts = F.array_sort(F.collect_list(F.struct("n", *COLUMNS, "confidences", "bbox", "source_row")))
+    parts = F.array_sort(F.collect_list(F.struct("n", *COLUMNS, "confidences", "bbox", "source_row")), lambda a, b: a["n"] - b["n"])
     g = r.groupBy(*page, "island").agg(parts.alias("p"), *[first(c) for c in kept])
 
     def folded(c: str) -> Column:
@@ -70,7 +70,7 @@ def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> D
 
 def classify() -> Column:
     """The type of a row by its own texts."""
-    name, position = F.trim(text("name")), F.trim(text("position_no"))
+    name, position = strip("name"), strip("position_no")
     low = F.lower(name)
     section = low.rlike("|".join(SECTION_STEMS)) & ~filled("quantity")
     code = lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike(SYSTEM)
@@ -117,7 +117,7 @@ def with_context(rows: DataFrame, document: list[str], order: list[str], block_p
     A short note under a section becomes a system; rows without an amount after a kit become its
     components; section and system are the last ones above.
     """
-    name, position = F.trim(text("name")), F.trim(text("position_no"))
+    name, position = strip("name"), strip("position_no")
     label = F.when(name != "", name).otherwise(position)
     others = [c for c in COLUMNS if c not in ("name", "position_no")]
     alone = ~filled(*others) & ((name != "").cast("int") + (position != "").cast("int") == 1)
@@ -137,13 +137,13 @@ def with_context(rows: DataFrame, document: list[str], order: list[str], block_p
 
 def row_confidence(confidences: str = "confidences") -> Column:
     """The mean confidence of the cells that hold text, to one decimal; 0 without any."""
-    values = F.filter(F.array(*[F.when(F.trim(text(c)) != "", F.try_element_at(F.col(confidences), F.lit(c))) for c in COLUMNS]), lambda v: v.isNotNull())
+    values = F.filter(F.array(*[F.when(strip(c) != "", F.try_element_at(F.col(confidences), F.lit(c))) for c in COLUMNS]), lambda v: v.isNotNull())
     return F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values), 1)).otherwise(0.0)
 
 
 def status(row_type: Column, conf: Column) -> Column:
     """recognized, review or unrecognized; a system whose text is no system code is always for review."""
-    label = F.when(F.trim(text("name")) != "", F.trim(text("name"))).otherwise(F.trim(text("position_no")))
+    label = F.when(strip("name") != "", strip("name")).otherwise(strip("position_no"))
     odd = (row_type == "system") & ~F.replace(label, F.lit(" "), F.lit("")).rlike(SYSTEM)
     sure = lambda limit: F.when(conf >= limit, "recognized").otherwise("review")
     named, measured = text("name") != "", F.concat(text("quantity"), text("unit")) != ""
@@ -154,7 +154,7 @@ def result_rows(raw: DataFrame) -> DataFrame:
     """Raw rows to result rows: merged, typed, in context, with confidence, status, a stable id and an order."""
     raw = raw.withColumn("line", row_number_of(F.col("source_row")))
     merged = merge_continuations(raw, ["document_id", "page"], ["line"])
-    placed = with_context(merged, ["document_id"], ["page", "line"])
+    placed = with_context(cut(merged), ["document_id"], ["page", "line"])
     out = placed.withColumn("confidence", row_confidence()).withColumn("status", status(F.col("row_type"), F.col("confidence")))
     out = out.withColumn("row_id", F.md5(F.concat_ws("/", "document_id", F.col("page").cast("string"), "source_row"))).withColumn("edited", F.lit(False)).withColumn("selected", F.lit(None).cast("boolean"))
     return out.withColumn("row_order", F.col("page").cast("long") * 100_000 + F.col("line")).drop("line", "row_no")

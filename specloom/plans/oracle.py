@@ -1,5 +1,223 @@
-"""The SQL that says the same as each query."""
+"""The SQL that says the same as each query, for DuckDB."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from specloom.schema import CATALOG, COLUMNS, EXPORTED, SECTION_STEMS, THRESHOLDS, UNITS, WIDTH_RATIOS
+from specloom.functions.text import UNIT_KEYS
+
+ORDINARY = r"""[^\p{L}\p{N}_\s.,;:()\-+/×Ø№²³"'']"""
+NUMBER = r"^-?[0-9]+(?:[.,][0-9]+)?$"
+SYSTEM = r"(?i)^(?:[ПВКЕBPK]{1,4}[0-9]+(?:[.,][0-9]+)?|К[0-9]+(?:\.[0-9]+)*)$"
+POSITION = "[0-9IVXLСА-ЯA-Z]"
+
+
+def _t(c: str) -> str:
+    return f"coalesce({c}, '')"
+
+
+def _tr(c: str) -> str:
+    return rf"regexp_replace(coalesce({c}, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+def _list(values: tuple[str, ...] | list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _chain(c: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, to in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return c
+
+
+_UNITS = _list(UNITS)
+_CONF = "greatest(CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.0 ELSE confidence END, 0.0)"
+_STRANGE = f"len(regexp_extract_all(t, '{ORDINARY}'))"
+_PLAUSIBLE = f"""CASE WHEN t = '' THEN -12.0::DOUBLE
+  WHEN column_key IN ('quantity', 'mass') THEN CASE WHEN regexp_matches(t, '{NUMBER}') THEN 22.0 ELSE -35.0 END
+  WHEN column_key = 'unit' THEN CASE WHEN t IN ({_UNITS}) THEN 22.0 ELSE -18.0 END
+  WHEN column_key = 'position_no' THEN CASE WHEN regexp_matches(t, '{POSITION}') THEN 8.0 ELSE -10.0 END
+  WHEN column_key IN ('name', 'note') THEN least(16.0::DOUBLE, len(regexp_extract_all(t, '[А-Яа-яЁё]')) * 0.35::DOUBLE) - len(regexp_extract_all(t, '[A-Za-z]')) * 0.08::DOUBLE - {_STRANGE} * 3.0::DOUBLE
+  WHEN column_key IN ('type_mark', 'code', 'manufacturer') THEN 8.0::DOUBLE - {_STRANGE} * 3.0::DOUBLE ELSE 0.0 END"""
+_READINGS = f"SELECT *, coalesce(text, '') AS t, {_CONF} AS c FROM cell_results"
+
+
+def _noise(key: str, t: str, c: str) -> str:
+    return f"""CASE WHEN {key} NOT IN ('quantity', 'mass') AND lower({_tr(t)}) IN ('о', 'o', '0', '_', '|', '.') AND {c} < 72 THEN ''
+  WHEN {key} = 'unit' AND lower({t}) NOT IN ({_UNITS}, 'комплект') AND length({t}) <= 5 THEN ''
+  WHEN {key} = 'position_no' AND NOT regexp_matches({t}, '{POSITION}') THEN '' ELSE {t} END"""
+
+
+def _best(by: str, where: str = "true") -> str:
+    """The chosen reading by the columns given."""
+    return f"""SELECT {by}, coalesce(max(t) FILTER (r = 1 AND t <> ''), '') AS text, coalesce(max(c) FILTER (r = 1 AND t <> ''), 0.0) AS confidence, coalesce(max(s) FILTER (r = 1 AND t <> ''), 'none') AS source
+FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY (t <> '') DESC, score DESC, ordinal, t DESC, c DESC, s DESC) AS r FROM (
+  SELECT *, coalesce(source, 'none') AS s, c + ({_PLAUSIBLE}) + CASE WHEN source LIKE 'cell-%' THEN 10.0 WHEN source LIKE 'accurate-column%' THEN 2.0 ELSE 0.0 END AS score FROM ({_READINGS}) WHERE {where}))
+GROUP BY {by}"""
+
+
+_LIMITS = "CASE column_key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " ELSE 55 END"
+_DOUBTFUL = f"""CASE WHEN t = '' THEN column_key IN ('unit', 'quantity', 'mass') WHEN c < {_LIMITS} THEN true
+  WHEN column_key IN ('quantity', 'mass') THEN NOT regexp_matches(t, '{NUMBER}') WHEN column_key = 'unit' THEN t NOT IN ({_UNITS})
+  WHEN column_key IN ('name', 'note') THEN {_STRANGE} >= 2 ELSE false END"""
+
+_N = r"[^\p{L}\p{N}_]"
+_G = "[гgrГGR][оo0ОO][сcsСCS][тtТT]"
+_X = r"([0-9])[\s\p{Z}]*[xXхХ][\s\p{Z}]*([0-9])"
+
+
+def _clean(c: str) -> str:
+    s = f"replace(replace(translate(replace({_t(c)}, chr(173), ''), chr(160) || '—–', ' --'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    rules = [(r"[ \t]+", " "), (r"\.{2,}", "."), (r"[”\"»]+:", ":"), (r"[\s\p{Z}]*\n[\s\p{Z}]*", r"\n"), (r"\n{3,}", r"\n\n"), (_X, r"\1×\2"), (_X, r"\1×\2"), (rf"(^|{_N})[$§]([\s\p{{Z}}]*[0-9])", r"\1Ø\2")]
+    for digit, up in (("2", "²"), ("3", "³")):
+        rules += [(rf"(^|{_N})[мМ][\s\p{{Z}}]*{digit}({_N}|$)", rf"\1м{up}\2")] * 2
+    rules += _short("шт", "шт.") + _short("компл", "компл.")
+    rules += [(rf"(^|{_N}){_G}({_N}|$)", r"\1ГОСТ\2")] * 2
+    s = _chain(s, [(p, t.replace(r"\n", "\n")) for p, t in rules])
+    return f"regexp_replace(regexp_replace({s}, '^[ \\n|_]+', ''), '[ \\n|_]+$', '')"
+
+
+def _short(word: str, to: str) -> list[tuple[str, str]]:
+    """word at the edges of a word, with the blanks and then dots that follow."""
+    cased = "".join(f"[{c}{c.upper()}]" for c in word)
+    return [(rf"(^|{_N}){cased}({_N}|$)", r"\1" + chr(0x2402) + r"\2")] * 2 + [(rf"{chr(0x2402)}[\s\p{{Z}}]*\.*", to)]
+
+
+_UNIT = "CASE regexp_replace(lower(coalesce(unit, '')), '[^а-яёa-z0-9²³]+', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in UNIT_KEYS.items()) + " ELSE coalesce(unit, '') END"
+
+
+def _number(c: str) -> str:
+    s = f"regexp_replace(replace(replace({c}, ' ', ''), ',', '.'), '[^0-9.\\-]', '', 'g')"
+    return f"CASE WHEN instr({s}, '.') > 0 THEN substr({s}, 1, instr({s}, '.')) || replace(substr({s}, instr({s}, '.') + 1), '.', '') ELSE {s} END"
+
+
+def _cast(c: str) -> tuple[str, str]:
+    s = f"({_number(_clean(c))})"
+    good = rf"regexp_matches({s}, '^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$')"
+    return f"CASE WHEN {good} THEN try_cast({s} AS DOUBLE) END", f"CASE WHEN {s} NOT IN ('', '-', '.') AND NOT {good} THEN {_t(c)} END"
+
+
+_ANY = lambda *cs: "(" + " || ".join(_tr(c) for c in cs) + ") <> ''"
+_STEMS = "|".join(SECTION_STEMS)
+_CLASS = f"""CASE WHEN regexp_matches(lower({_tr("name")}), '{_STEMS}') AND NOT {_ANY("quantity")} THEN 'section'
+  WHEN (regexp_matches(replace({_tr("name")}, ' ', ''), '{SYSTEM}') OR regexp_matches(replace({_tr("position_no")}, ' ', ''), '{SYSTEM}')) AND NOT {_ANY("quantity", "unit")} THEN 'system'
+  WHEN regexp_matches({_tr("name")}, '^[\\-–—•]') THEN 'component'
+  WHEN {_ANY("quantity", "unit", "type_mark", "manufacturer")} THEN 'item' WHEN {_ANY("name", "position_no")} THEN 'note' ELSE 'skip' END"""
+_LABEL = f"CASE WHEN {_tr('name')} <> '' THEN {_tr('name')} ELSE {_tr('position_no')} END"
+_VALUES = "list_filter([" + ", ".join(f"CASE WHEN {_tr(c)} <> '' THEN confidences['{c}'] END" for c in COLUMNS) + "], lambda v: v IS NOT NULL)"
+_SURE = lambda n: f"CASE WHEN confidence >= {n} THEN 'recognized' ELSE 'review' END"
+_STATUS = f"""CASE WHEN row_type = 'system' AND NOT regexp_matches(replace({_LABEL}, ' ', ''), '{SYSTEM}') THEN 'review'
+  WHEN row_type IN ('section', 'system', 'note', 'component') THEN {_SURE(55)}
+  WHEN {_t("name")} <> '' AND {_t("quantity")} || {_t("unit")} <> '' THEN {_SURE(68)} WHEN {_t("name")} <> '' THEN 'review' ELSE 'unrecognized' END"""
+_RAW = "SELECT *, try_cast(regexp_extract(source_row, '^[0-9]+') AS INTEGER) AS line FROM raw_rows"
+_OWN = "position_no || type_mark || code || manufacturer || unit || quantity || mass <> ''"
+_PLACED = f"""cols AS (SELECT document_id, page, i AS col_no, x_lines[i + 1] AS x0, x_lines[i + 2] AS x1 FROM (SELECT *, unnest(range(0, len(x_lines) - 1)) AS i FROM page_grid) WHERE i < 9),
+rows_ AS (SELECT document_id, page, i AS row_no, y_lines[i + 1] AS y0, y_lines[i + 2] AS y1 FROM (SELECT *, unnest(range(0, len(y_lines) - 1)) AS i FROM page_grid) WHERE i >= 2),
+words AS (SELECT DISTINCT t.document_id, t.page, r.row_no, c.col_no, pass_name, pass_ordinal, block_num, par_num, line_num, word_num, {_tr('text')} AS t, greatest(CASE WHEN conf IS NULL OR isnan(conf) THEN 0.0 ELSE conf END, 0.0) AS c
+  FROM tokens t JOIN cols c ON t.document_id = c.document_id AND t.page = c.page AND left_px + width_px / 2 > x0 AND left_px + width_px / 2 <= x1
+  JOIN rows_ r ON t.document_id = r.document_id AND t.page = r.page AND top_px + height_px / 2 > y0 AND top_px + height_px / 2 <= y1 WHERE {_tr('text')} <> ''),
+cell AS (SELECT document_id, page, row_no, col_no, pass_name, pass_ordinal, string_agg(t, ' ' ORDER BY block_num, par_num, line_num, word_num, t, c) AS text, round(avg(c), 8) AS confidence FROM words GROUP BY ALL)"""
+
+
+def _fold(c: str) -> str:
+    return f"list_reduce(list_filter(list_transform(p, lambda x, i: CASE WHEN i = 1 OR x['{c}'] <> '' THEN x['c_{c}'] END), lambda v: v IS NOT NULL), lambda a, b: round((a + b) / CASE WHEN a <> 0 AND b <> 0 THEN 2 ELSE 1 END, 1))"
+
+
+def _joined(c: str) -> str:
+    return f"coalesce(array_to_string(list_filter(list_transform(p, lambda x: x['{c}']), lambda t: t <> ''), ' '), '') AS {c}"
+
+
+_MERGE = f"""WITH r AS (SELECT raw_id, document_id, page, line, source_row, bbox, confidences, {", ".join(f"{_tr(c)} AS {c}" for c in COLUMNS)} FROM ({_RAW})),
+a AS (SELECT *, row_number() OVER w AS n, {_OWN} AS own FROM r WINDOW w AS (PARTITION BY document_id, page ORDER BY line, raw_id)),
+b AS (SELECT *, CASE WHEN name <> '' THEN regexp_matches(name, '[,;-]$') WHEN own OR n = 1 THEN false END AS tail FROM a),
+c AS (SELECT *, coalesce(last_value(tail IGNORE NULLS) OVER (PARTITION BY document_id, page ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS punct FROM b),
+d AS (SELECT *, n > 1 AND NOT own AND NOT regexp_matches(name, '^[\\-–—•]') AND ((name = '' AND type_mark || code || note <> '') OR punct) AS joins FROM c),
+e AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY document_id, page ORDER BY n) AS island FROM d),
+f AS (SELECT document_id, page, island, arg_min(raw_id, n) AS raw_id, string_agg(source_row, '+' ORDER BY n) AS source_row, count(*) AS k, arg_min(bbox.y, n) AS y, arg_min(bbox.height, n) AS h, max(bbox.y + bbox.height) AS bottom,
+  list({{{", ".join(f"'{c}': {c}" for c in COLUMNS)}, 'c_name': coalesce(confidences['name'], 0.0), 'c_note': coalesce(confidences['note'], 0.0)}} ORDER BY n) AS p FROM e GROUP BY document_id, page, island)
+SELECT raw_id, document_id, page, source_row, {", ".join(_joined(c) for c in COLUMNS)}, {_fold("name")} AS name_confidence, {_fold("note")} AS note_confidence, round(CASE WHEN k > 1 THEN bottom - y ELSE h END, 6) AS height FROM f"""
+
+_OTHERS = [c for c in COLUMNS if c not in ("name", "position_no")]
+_AMOUNT = f"({_t('unit')} || {_t('quantity')} || {_t('manufacturer')}) <> ''"
+_ABOVE = "(PARTITION BY document_id ORDER BY page, line, raw_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_HERE = "(PARTITION BY document_id ORDER BY page, line, raw_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_CONTEXT = f"""WITH a AS (SELECT *, {_CLASS} AS t0, {_LABEL} AS label FROM ({_RAW})),
+b AS (SELECT *, coalesce(bool_or(t0 = 'section') OVER {_ABOVE}, false) AS seen FROM a),
+c AS (SELECT *, CASE WHEN t0 = 'note' AND seen AND NOT {_ANY(*_OTHERS)} AND (({_tr("name")} <> '')::INT + ({_tr("position_no")} <> '')::INT) = 1 AND length(label) <= 5 THEN 'system' ELSE t0 END AS t1 FROM b),
+d AS (SELECT *, coalesce(last_value(CASE WHEN {_AMOUNT} THEN t1 = 'item' AND contains(lower({_tr("name")}), 'компл') AND {_t("quantity")} <> '' END IGNORE NULLS) OVER {_ABOVE}, false) AS active FROM c),
+e AS (SELECT *, CASE WHEN active AND NOT {_AMOUNT} AND t1 NOT IN ('section', 'system') AND {_t("name")} || {_t("type_mark")} <> '' THEN 'component' ELSE t1 END AS row_type FROM d)
+SELECT raw_id, row_type, coalesce(last_value(CASE WHEN row_type = 'section' THEN CASE WHEN regexp_replace({_tr("name")}, '[:*]+$', '') <> '' THEN regexp_replace({_tr("name")}, '[:*]+$', '') ELSE {_tr("position_no")} END END IGNORE NULLS) OVER {_HERE}, '') AS section_name,
+  coalesce(last_value(CASE WHEN row_type = 'system' THEN label END IGNORE NULLS) OVER {_HERE}, '') AS system_name FROM e"""
+
+_EXPORTABLE = f"coalesce(row_type, '') NOT IN ('section', 'system', 'note', 'skip') AND selected IS DISTINCT FROM false AND ({' || '.join(_t(c) for c in EXPORTED)}) <> ''"
+_SELECTED = "coalesce(selected, row_type IN ('item', 'component'))"
+_SEARCHED = " OR ".join(f"contains(lower(coalesce({c}::VARCHAR, '')), 'клапан')" for c in (*COLUMNS, "section_name", "system_name", "row_type", "page", "confidence", "status"))
+
+
+def _quantile(g: str, q: float) -> str:
+    at = f"((len({g}) - 1) * {q}::DOUBLE)"
+    s = f"list_sort({g})"
+    return f"({s}[floor({at})::INT + 1] + ({s}[least(floor({at})::INT + 2, len({g}))] - {s}[floor({at})::INT + 1]) * ({at} - floor({at})))"
+
+
+def _trimmed(lines: str) -> str:
+    """Lines up to the gap, from a table l(document_id, page, l) of arrays."""
+    return f"""SELECT document_id, page, array_to_string(CASE WHEN len(l) < 5 OR cut IS NULL THEN l ELSE l[1:cut + 1] END, ',') AS lines FROM (
+  SELECT *, list_min(list_filter(range(2, len(g)), lambda i: g[i + 1] > m * 2.15)) AS cut FROM (
+    SELECT *, CASE WHEN len(reg) > 0 THEN {_quantile("reg", 0.5)} ELSE {_quantile("g", 0.5)} END AS m FROM (
+      SELECT *, list_filter(g, lambda x: x < q3) AS reg FROM (
+        SELECT *, {_quantile("g", 0.75)} AS q3 FROM (SELECT *, list_transform(range(1, len(l)), lambda i: (l[i + 1] - l[i])::DOUBLE) AS g FROM ({lines}))))))"""
+
+
+_RATIOS = "[" + ", ".join(map(str, WIDTH_RATIOS)) + "]::DOUBLE[]"
+_SEQUENCE = f"""WITH c AS (SELECT DISTINCT document_id, page, image_width, unnest(list_concat(x_lines, list_transform(range(1, len(x_lines)), lambda i: ((x_lines[i + 1] + x_lines[i]) // 2)::INTEGER))) AS x FROM page_grid),
+w AS (SELECT *, list(x) OVER (PARTITION BY document_id, page ORDER BY x ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s, row_number() OVER (PARTITION BY document_id, page ORDER BY x) AS k FROM c),
+e AS (SELECT *, CASE WHEN len(s) = 10 AND s[10] - s[1] >= image_width * 0.72 THEN round(list_sum(list_transform(range(1, 10), lambda i: abs((s[i + 1] - s[i]) / (s[10] - s[1])::DOUBLE - ({_RATIOS})[i]))) / 9 + abs(s[1] / image_width::DOUBLE - 0.045) * 0.04, 12) END AS error FROM w)
+SELECT document_id, page, array_to_string(coalesce(arg_min(s, (error, k)) FILTER (error IS NOT NULL), arg_min(s, k)), ',') AS lines FROM e GROUP BY document_id, page"""
+
+_NUM, _REST = _cast("quantity")
+ORACLE: dict[str, str] = {
+    "token_cells": f"WITH {_PLACED} SELECT * FROM cell",
+    "candidate_top1": f"SELECT * REPLACE (round(confidence, 4) AS confidence) FROM ({_best('cell_id')})",
+    "candidate_union": f"WITH {_PLACED} SELECT document_id, page, row_no, col_no, count(*) AS candidates, max(CASE WHEN pass_name LIKE 'page-%' THEN 0 ELSE 1 END) AS last_stage, min(pass_ordinal) AS first_pass FROM cell GROUP BY ALL",
+    "noise_filter": f"SELECT result_id, {_noise('column_key', 't', 'c')} AS kept FROM ({_READINGS})",
+    "refine_budget": f"SELECT * FROM (SELECT result_id, row_number() OVER (PARTITION BY document_id, page ORDER BY try_cast(regexp_extract(source_row, '^[0-9]+') AS INTEGER), cell_id, ordinal, result_id) AS turn FROM ({_READINGS}) WHERE {_DOUBTFUL}) WHERE turn <= 8",
+    "numeric_fallback": f"SELECT result_id, text FROM cell_results WHERE column_key IN ('quantity', 'mass') AND coalesce(text, '') <> '' AND NOT regexp_matches(text, '{NUMBER}')",
+    "back_fill": f"""WITH b AS ({_best("document_id, page, source_row, column_key", "column_key IN ('unit', 'quantity')")}),
+w AS (SELECT document_id, page, source_row, max(text) FILTER (column_key = 'unit') AS ua, max(confidence) FILTER (column_key = 'unit') AS uc, max(text) FILTER (column_key = 'quantity') AS qa FROM b GROUP BY ALL),
+r AS (SELECT raw_id, {_t("name")} || {_t("type_mark")} || {_t("manufacturer")} <> '' AS item, {_t("unit")} AS u, {_t("quantity")} AS q, coalesce(ua, '') AS ua, coalesce(uc, 0.0) AS uc, coalesce(qa, '') AS qa FROM raw_rows LEFT JOIN w USING (document_id, page, source_row)),
+f AS (SELECT *, CASE WHEN item AND q <> '' AND u = '' AND ua <> '' THEN {_noise("'unit'", "ua", "uc")} ELSE u END AS unit FROM r)
+SELECT raw_id, unit, CASE WHEN item AND unit <> '' AND q = '' AND qa <> '' THEN qa ELSE q END AS quantity FROM f""",
+    "column_titles": f"SELECT column_key, title, count(*) AS readings FROM cell_results JOIN (VALUES {', '.join(f"('{k}', '{t}')" for k, t, _ in CATALOG)}) v(column_key, title) USING (column_key) GROUP BY ALL",
+    "clean_text": f"SELECT raw_id, {', '.join(f'{_clean(c)} AS {c}' for c in ('name', 'type_mark', 'unit', 'note'))} FROM raw_rows",
+    "normalize_units": f"SELECT raw_id, {_UNIT} AS unit FROM raw_rows",
+    "numeric_cast": f"SELECT raw_id, {_NUM} AS number, {_REST} AS not_number FROM raw_rows",
+    "plausibility": f"SELECT result_id, round({_PLAUSIBLE}, 4) AS plausibility FROM ({_READINGS})",
+    "safe_filenames": r"""SELECT document_id, left(CASE WHEN lower(s) LIKE '%.xlsx' THEN s ELSE s || '.xlsx' END, 160) AS filename FROM (SELECT document_id, regexp_replace(CASE WHEN coalesce(title, '') = '' THEN 'specification.xlsx' ELSE regexp_replace(title, '^.*/', '') END, '[^\p{L}\p{N}_\-. ()]', '_', 'g') AS s FROM doc_meta)""",
+    "classify_rows": f"SELECT raw_id, {_CLASS} AS row_type FROM raw_rows",
+    "row_status": f"SELECT raw_id, row_type, confidence, {_STATUS} AS status FROM (SELECT *, {_CLASS} AS row_type, CASE WHEN len({_VALUES}) > 0 THEN round(list_sum({_VALUES}) / len({_VALUES}), 1) ELSE 0.0 END AS confidence FROM raw_rows)",
+    "continuation_merge": _MERGE,
+    "context_carry": _CONTEXT,
+    "result_summary": "SELECT 'total' AS what, '' AS value, count(*) AS n FROM result_rows HAVING count(*) > 0 UNION ALL SELECT 'status', coalesce(status, ''), count(*) FROM result_rows GROUP BY ALL UNION ALL SELECT 'row_type', coalesce(row_type, ''), count(*) FROM result_rows GROUP BY ALL",
+    "review_counters": f"SELECT document_id, count(*) AS total, count(*) FILTER (status IN ('recognized', 'verified', 'edited')) AS ready, count(*) FILTER (status IN ('review', 'unrecognized')) AS review, count(*) FILTER ({_SELECTED}) AS selected FROM result_rows GROUP BY document_id",
+    "review_filter": f"SELECT row_id FROM result_rows WHERE row_type = 'item' AND status = 'review' AND ({_SEARCHED})",
+    "default_selection": f"SELECT row_id, {_SELECTED} AS chosen FROM result_rows",
+    "save_merge": "SELECT raw_id, coalesce(e.m, r.manufacturer) AS manufacturer, e.m IS NOT NULL AND e.m IS DISTINCT FROM r.manufacturer AS edited FROM raw_rows r LEFT JOIN (SELECT raw_id, arg_max(manufacturer, (edited_at, edit_id)) AS m FROM maker_edits WHERE raw_id IS NOT NULL AND manufacturer IS NOT NULL GROUP BY raw_id) e USING (raw_id)",
+    "status_after_edit": "SELECT row_id, CASE WHEN edited AND status <> 'verified' THEN 'edited' ELSE status END AS status FROM result_rows",
+    "first_messages": "SELECT user_id, string_agg(event_type, '; ' ORDER BY r) AS messages FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min((ts, event_id)), event_type) AS r FROM events GROUP BY user_id, event_type) WHERE r <= 3 GROUP BY user_id",
+    "export_rows": f"SELECT row_order, {', '.join(EXPORTED[:-2])}, {_NUM} AS quantity, {_REST} AS quantity_text, note FROM result_rows WHERE {_EXPORTABLE}",
+    "export_metadata": f"SELECT 'exported_rows' AS parameter, count(*)::VARCHAR AS value FROM result_rows WHERE {_EXPORTABLE} UNION ALL SELECT 'columns', '{', '.join(EXPORTED)}'",
+    "tsv_export": "SELECT row_order, concat_ws(chr(9), " + ", ".join(f"regexp_replace({_t(c)}, '[\\t\\r\\n]+', ' ', 'g')" for c in EXPORTED) + f") AS line FROM result_rows WHERE {_SELECTED} AND {_EXPORTABLE}",
+    "mask_islands": "SELECT document_id, page, round_even(avg(top_px), 0)::BIGINT AS line FROM (SELECT *, top_px - row_number() OVER (PARTITION BY document_id, page ORDER BY top_px) AS g FROM (SELECT DISTINCT document_id, page, top_px FROM tokens)) GROUP BY document_id, page, g",
+    "column_sequence": _SEQUENCE,
+    "footer_trim": f"SELECT document_id, page, false AS with_gap, lines FROM ({_trimmed('SELECT document_id, page, y_lines AS l FROM page_grid')}) UNION ALL SELECT document_id, page, true, lines FROM ({_trimmed('SELECT document_id, page, list_concat(y_lines, [y_lines[-1] + 900, y_lines[-1] + 960]) AS l FROM page_grid')})",
+    "page_geometry": """SELECT document_id, page, round(x_lines[1] / image_width::DOUBLE, 6) AS x0, round(x_lines[-1] / image_width::DOUBLE, 6) AS x1, round(y_lines[1] / image_height::DOUBLE, 6) AS y0, round(y_lines[-1] / image_height::DOUBLE, 6) AS y1,
+  l::INTEGER AS "left", t::INTEGER AS top, greatest(20, least(floor(0.5 * image_width) + px * 2, image_width - l))::INTEGER AS width, greatest(20, least(floor(0.5 * image_height) + py * 2, image_height - t))::INTEGER AS height
+FROM (SELECT *, greatest(0, least(floor(0.25 * image_width) - px, image_width - 1)) AS l, greatest(0, least(floor(0.25 * image_height) - py, image_height - 1)) AS t FROM (SELECT *, greatest(8, floor(image_width * 0.03::DOUBLE)) AS px, greatest(8, floor(image_height * 0.015::DOUBLE)) AS py FROM page_grid))""",
+    "suggest_pages": "SELECT document_id, page FROM page_grid WHERE len(x_lines) = 10 AND len(y_lines) >= 6",
+    "page_ranges": "SELECT DISTINCT document_id, unnest(list_concat(range(greatest(1, page_count - 3), page_count + 1), [1]))::INTEGER AS page FROM doc_meta WHERE page_count > 0",
+    "page_problems": "SELECT document_id, CASE WHEN coalesce(page_count, 0) < 1 THEN '1' WHEN page_count < 3 THEN '3-2' WHEN page_count < 9 THEN '9' END AS problem FROM doc_meta",
+    "compact_ranges": "SELECT document_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a::VARCHAR || '-' || b::VARCHAR END, ', ' ORDER BY a) AS ranges FROM (SELECT document_id, min(page) AS a, max(page) AS b FROM (SELECT *, page - row_number() OVER (PARTITION BY document_id ORDER BY page) AS g FROM (SELECT DISTINCT document_id, page FROM cell_results WHERE page IS NOT NULL)) GROUP BY document_id, g) GROUP BY document_id",
+    "known_pages": "SELECT DISTINCT document_id, page FROM cell_results SEMI JOIN page_grid USING (document_id, page)",
+    "drop_empty_rows": f"SELECT raw_id FROM raw_rows WHERE {_ANY(*COLUMNS)}",
+    "document_list": r"SELECT document_id, CASE WHEN trim(coalesce(title, '')) <> '' THEN title ELSE regexp_replace(coalesce(filename, ''), '\.[^.]*$', '') END AS title, page_count, document_id IN (SELECT document_id FROM result_rows WHERE document_id IS NOT NULL) AS has_result FROM doc_meta",
+}
