@@ -80,6 +80,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from a reliable checkpoint, so that a lost executor costs no recomputation of the past."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once to the shared checkpoint folder and read back.
+
+    A lost executor then costs no recomputation of the past, and what follows reads only the columns it
+    needs. Unlike checkpoint(), which runs the plan twice unless it is cached, this runs it once. The files
+    go when the application ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
