@@ -53,6 +53,8 @@ def page_images(spark: SparkSession, folder: str) -> DataFrame:
 def read_pages(pages: DataFrame, reader: PageReader, schema: str) -> tuple[DataFrame, DataFrame]:
     """(words, errors): a page that can't be read gives an error row and doesn't stop the others."""
 
+    names = [f.strip().split()[0] for f in f"document_id string, page int, error string, {schema}".split(",")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for document, page, content in zip(b["document_id"], b["page"], b["content"]):
@@ -60,9 +62,9 @@ def read_pages(pages: DataFrame, reader: PageReader, schema: str) -> tuple[DataF
                     words = reader.words(content).assign(document_id=document, page=page, error=None)
                 except Exception as problem:  # noqa: BLE001 - whatever the reader raises belongs to its page
                     words = pd.DataFrame({"document_id": [document], "page": [page], "error": [f"{type(problem).__name__}: {problem}"]})
-                yield words
+                yield words.reindex(columns=names).astype(object)
 
-    out = pages.select("document_id", "page", "content").mapInPandas(run, f"document_id string, page int, error string, {schema}")
+    out = pages.select("document_id", "page", "content").mapInPandas(run, f"document_id string, page int, error string, {schema}")  # a field is a name and a simple type
     return out.where(F.col("error").isNull()).drop("error"), out.where(F.col("error").isNotNull()).select("document_id", "page", "error")
 
 
