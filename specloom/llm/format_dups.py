@@ -19,8 +19,8 @@ from specloom.session import cut
 HOT_SHARE = 1000
 SALTS = 64
 #: A sign directly between two digits belongs to the number; it neither parts nor is punctuation.
-_SEPARATOR = r"(?<!\d)[,;/|]|[,;/|](?!\d)"
-_NOT_KEPT = r"(?U)\s|(?<!\d)[^\p{L}\p{N}]|[^\p{L}\p{N}](?!\d)"
+_SEPARATOR = r"(?<![0-9])[,;/|]|[,;/|](?![0-9])"
+_NOT_KEPT = r"[\s\p{Z}]+|(?<![0-9])[^\p{L}\p{N}]+(?![0-9])|(?<![0-9])[^\p{L}\p{N}]|[^\p{L}\p{N}](?![0-9])"
 
 
 def bare(field: Column) -> Column:
@@ -34,23 +34,30 @@ def sorted_parts(field: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(parts, lambda p: p != "")), "|")
 
 
-def canonical_key(name: Column, mark: Column) -> Column:
-    """One string for all formattings of (name, mark).
+def canonical_keys(rows: DataFrame, name: Column, mark: Column) -> DataFrame:
+    """rows with ``k``: one string for all formattings of (name, mark).
 
     The two fields may stand exchanged, so the one with the larger share of digits counts as the mark; at a
     tie the shorter, then the one whose characters come first in order. None of this depends on formatting.
+    Each bare field is a column of its own, so that it is computed once.
     """
-    share = lambda b: F.coalesce(F.length(F.regexp_replace(b, r"\D", "")) / F.nullif(F.length(b), F.lit(0)), F.lit(0.0))
+    share = lambda b: F.coalesce(F.length(F.regexp_replace(b, r"\D+", "")) / F.nullif(F.length(b), F.lit(0)), F.lit(0.0))
     letters = lambda b: F.array_join(F.array_sort(F.split(b, "")), "")
-    rank = lambda b: F.struct((-share(b)).alias("s"), F.length(b).alias("n"), letters(b).alias("c"))
-    exchanged = rank(bare(name)) < rank(bare(mark))
-    return F.concat_ws("#", sorted_parts(F.when(exchanged, mark).otherwise(name)), bare(F.when(exchanged, name).otherwise(mark)))
+    r = rows.withColumns({"_name": name, "_mark": mark}).withColumns({"_bn": bare(F.col("_name")), "_bm": bare(F.col("_mark"))}).withColumns({"_sn": share(F.col("_bn")), "_sm": share(F.col("_bm"))})
+    shorter = F.when(F.length("_bn") == F.length("_bm"), letters(F.col("_bn")) < letters(F.col("_bm"))).otherwise(F.length("_bn") < F.length("_bm"))
+    r = r.withColumn("_x", F.when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
+    r = r.withColumns({"_text": F.when(F.col("_x"), F.col("_mark")).otherwise(F.col("_name")), "_code": F.when(F.col("_x"), F.col("_bn")).otherwise(F.col("_bm"))})
+    return r.withColumn("k", F.concat_ws("#", sorted_parts(F.col("_text")), "_code"))
 
 
 def keyed(rows: DataFrame, identifier: str, name: str, mark: str) -> DataFrame:
-    """id, key: the rows that hold anything in either field, with the 16-byte hash of their canonical key."""
-    k = rows.where(F.col(identifier).isNotNull()).select(F.col(identifier).cast("long").alias("id"), canonical_key(F.col(name), F.col(mark)).alias("k"))
-    return k.where(F.col("k") != "#").select("id", F.unhex(F.md5("k")).alias("key"))
+    """id, key of the rows that hold anything in either field: the 16-byte hash of their canonical key, written once.
+
+    The filter comes after the cut: put before it, the optimizer would push it below and compute every rule
+    again inside.
+    """
+    k = canonical_keys(rows.where(F.col(identifier).isNotNull()).select(F.col(identifier).cast("long").alias("id"), F.col(name).alias("n"), F.col(mark).alias("m")), F.col("n"), F.col("m"))
+    return cut(k.select("id", F.unhex(F.md5("k")).alias("key"))).where(F.col("key") != F.unhex(F.md5(F.lit("#"))))
 
 
 def _split_hot(k: DataFrame, hot_share: int) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +81,7 @@ def copy_groups(rows: DataFrame, identifier: str = "row_order", name: str = "nam
     and are left out; a null field counts as an empty one. Repeated rows count each time. An empty table
     gives an empty result; other columns aren't looked at.
     """
-    hot_rows, rest = _split_hot(cut(keyed(rows, identifier, name, mark)), hot_share)
+    hot_rows, rest = _split_hot(keyed(rows, identifier, name, mark), hot_share)
     groups = rest.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     return _two_level(hot_rows, salts).unionByName(groups).select("first_id", "copies")
 
@@ -85,7 +92,7 @@ def copies(rows: DataFrame, identifier: str = "row_order", name: str = "name", m
     The representatives of hot keys are broadcast, fewer than ``hot_share`` of them; those of the rest are
     found by a window, which spills, over the one shuffle by key.
     """
-    hot_rows, rest = _split_hot(cut(keyed(rows, identifier, name, mark)), hot_share)
+    hot_rows, rest = _split_hot(keyed(rows, identifier, name, mark), hot_share)
     of_hot = hot_rows.join(F.broadcast(_two_level(hot_rows, salts)), "key").select("first_id", "id").distinct()
     of_rest = rest.select(F.min("id").over(Window.partitionBy("key")).alias("first_id"), "id")
     return of_hot.unionByName(of_rest).where(F.col("id") > F.col("first_id"))
