@@ -32,9 +32,7 @@ def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> D
     """
     w = Window.partitionBy(*page).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    r = rows
-    for c in COLUMNS:
-        r = r.withColumn(c, strip(c))
+    r = rows.withColumns({c: strip(c) for c in COLUMNS})
     own = F.concat("position_no", "type_mark", "code", "manufacturer", "unit", "quantity", "mass") != ""
     n = F.row_number().over(w)
     tail = F.when(F.col("name") != "", F.col("name").rlike(r"[,;-]$")).when(F.col("own") | (F.col("n") == 1), False)
@@ -92,19 +90,14 @@ def carry_down(rows: DataFrame, by: list[str], block: str, order: list[str], val
     """
     w = Window.partitionBy(*by, block).orderBy(*order)
     frames = {True: w.rowsBetween(Window.unboundedPreceding, 0), False: w.rowsBetween(Window.unboundedPreceding, -1)}
-    r = rows
-    for name, (value, _) in values.items():
-        r = r.withColumn(f"_{name}", value)
+    r = rows.withColumns({f"_{name}": value for name, (value, _) in values.items()})
     at = F.struct(*order)
     ends = r.groupBy(*by, block).agg(*[F.max(F.when(F.col(f"_{n}").isNotNull(), F.struct(at.alias("at"), F.col(f"_{n}").alias("v"))))["v"].alias(f"_{n}") for n in values])
     above = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     inherited = checked_broadcast(ends.select(*by, block, *[F.last(f"_{n}", ignorenulls=True).over(above).alias(f"_in_{n}") for n in values]))
-    for name, (_, inclusive) in values.items():
-        r = r.withColumn(f"_here_{name}", F.last(f"_{name}", ignorenulls=True).over(frames[inclusive]))
-    r = r.join(inherited, [*by, block])
-    for name in values:
-        r = r.withColumn(name, F.coalesce(f"_here_{name}", f"_in_{name}")).drop(f"_{name}", f"_here_{name}", f"_in_{name}")
-    return r
+    r = r.withColumns({f"_here_{name}": F.last(f"_{name}", ignorenulls=True).over(frames[inclusive]) for name, (_, inclusive) in values.items()})
+    r = r.join(inherited, [*by, block]).withColumns({name: F.coalesce(f"_here_{name}", f"_in_{name}") for name in values})
+    return r.drop(*[f"{p}{name}" for name in values for p in ("_", "_here_", "_in_")])
 
 
 #: Pages of a document that one window holds at most.
