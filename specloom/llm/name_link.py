@@ -1,11 +1,13 @@
 """Problem 6: entries that mean the same organisation under different spellings.
 
 Each distinct spelling is brought to its core: alphabet, case, quotes, legal form and place gone. Full
-cores are then joined by edit distance in a trie join: the cores are sharded by a segment of their letters,
-each shard is a trie, and a query walks it with the rows of its Levenshtein automaton. Two strings within
-K edits leave one of K + 1 segments untouched, the i-th of them with fewer than i edits to its left, so
-every pair within K edits meets in a shard. Both orders of the words of a name are queried. Cores joined
-this way form classes; shortened names are then attached by the word they keep.
+cores are then joined by edit distance in a trie join: the cores are sharded by their length and a segment of
+their letters, each shard is a trie, and a query walks it with the rows of its Levenshtein automaton. A core
+that allows k edits is cut into k + 1 segments. Edits within segments leave one of them whole, number i from 0
+with i edits to its left and at most k - i to its right; a swap over a border counts for neither segment, as
+queries also come with the letters of a border swapped back. So every pair that is allowed meets in a shard.
+Both orders of the words of a name are queried. Cores joined this way form classes; shortened names are then
+attached by the word they keep.
 
 A shard with more than BLOCK cores is split into blocks, and its queries visit each; nothing is cut off.
 """
@@ -22,9 +24,8 @@ from pyspark.sql import functions as F
 
 from specloom.session import checked_broadcast, cut
 
-#: Edits allowed between two full cores, and the first letters that are cut into K + 1 segments.
+#: Edits allowed between two full cores.
 K = 2
-SEGMENTS = ((0, 3), (3, 6), (6, 10))
 #: One edit more is accepted between cores of this length if the edits are slips (letters dropped, doubled or
 #: swapped, at most one replaced): names of different makers differ by letters replaced.
 LONG = 12
@@ -109,57 +110,100 @@ def slips(a: str, b: str) -> float:
 
 
 class NameTrie:
-    """Names as nested dicts; '' marks the end of a name."""
+    """Names of one length as nested dicts; '' marks the end of a name."""
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.size = 0
 
     def add(self, name: str) -> None:
-        node = self.root
+        node, self.size = self.root, len(name)
         for c in name:
             node = node.setdefault(c, {})
         node[""] = name
 
     def within(self, name: str, k: int) -> Iterator[tuple[str, int]]:
-        """Names within k edits, a swap of neighbours counting as one."""
-        n = len(name)
-        stack = [(self.root, "", None, list(range(n + 1)))]
+        """Names within k edits, a swap of neighbours counting as one. A row holds only the cells from which the lengths can still be evened out."""
+        n, more = len(name), len(name) - self.size
+        if abs(more) > k:
+            return
+        slack = (k - abs(more)) // 2
+        low, high = min(0, more) - slack, max(0, more) + slack
+        width, never = high - low + 1, k + 1
+        rest = [abs(more - d) for d in range(low, high + 1)]
+        stack = [(self.root, "", 0, None, [d if d >= 0 else never for d in range(low, high + 1)])]
         while stack:
-            node, c, above, row = stack.pop()
-            for d, child in node.items():
-                if d == "":
-                    if row[n] <= k:
-                        yield child, row[n]
-                    continue
-                new = [row[0] + 1]
-                for j in range(n):
-                    x = name[j]
-                    v = min(new[j] + 1, row[j + 1] + 1, row[j] + (x != d))
-                    if above is not None and j and x == c and name[j - 1] == d and above[j - 1] + 1 < v:
-                        v = above[j - 1] + 1
+            node, before, depth, above, row = stack.pop()
+            if (end := node.get("")) is not None:
+                if row[more - low] <= k:
+                    yield end, row[more - low]
+                continue
+            for c, child in node.items():
+                new, alive, last = [], False, never
+                for x in range(width):
+                    j = depth + 1 + low + x
+                    v = never
+                    if 0 <= j <= n:
+                        if j:
+                            v = row[x] + (name[j - 1] != c)
+                            if last + 1 < v:
+                                v = last + 1
+                            if above is not None and j > 1 and name[j - 2] == c and name[j - 1] == before and above[x] + 1 < v:
+                                v = above[x] + 1
+                        if x + 1 < width and row[x + 1] + 1 < v:
+                            v = row[x + 1] + 1
+                        if v + rest[x] <= k:
+                            alive = True
                     new.append(v)
-                if min(new) <= k:
-                    stack.append((child, d, row, new))
+                    last = v
+                if alive:
+                    stack.append((child, c, depth + 1, row, new))
 
 
 def _allowed(n: int) -> int:
-    return K + (n >= LONG) if n >= 8 else 1
+    """Edits for a core of n letters; none below four, for initials that differ are different makers."""
+    return K + (n >= LONG) if n >= 8 else int(n >= 4)
+
+
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Where the segments of a core of n letters begin and end: one more than edits, each of two letters or more where
+    there are several. The last takes what remains, for many names end alike."""
+    m = _allowed(n) + 1
+    return [(n // m * i, n // m * (i + 1) if i + 1 < m else n) for i in range(m)]
+
+
+def _probes(form: str, longest: int) -> set[str]:
+    """The shards in which the cores of at most ``longest`` letters are that form may be joined with."""
+    n, out = len(form), set()
+    for size in range(max(1, n - _allowed(n)), min(n + _allowed(n), longest) + 1):
+        k, more, segments = min(_allowed(n), _allowed(size)), n - size, _segments(size)
+        for i, (start, end) in enumerate(segments[: k + 1]):
+            for shift in range(-i, i + 1):
+                a, b = start + shift, end + shift
+                spare = k - i - abs(more - shift)
+                if spare < 0 or a < 0 or b > n:
+                    continue
+                at, part = f"{size} {i} ", form[a:b]
+                out.add(at + part)
+                left, right = i > 0 and a > 0, i + 1 < len(segments) and b < n
+                if spare and left:
+                    out.add(at + form[a - 1] + part[1:])
+                if spare and right:
+                    out.add(at + part[:-1] + form[b])
+                if spare > 1 and left and right:
+                    out.add(at + form[a - 1] + part[1:-1] + form[b])
+    return out
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each core its index rows and its query rows, by segment. Short strings that lack a segment use what they have."""
+    """For each core its index rows and its query rows, by shard. In its own order of words it asks for cores that aren't longer; those ask for it."""
     for b in batches:
         rows = []
         for name, swapped in zip(b["full"], b["swapped"]):
-            for i, (start, end) in enumerate(SEGMENTS):
-                if len(name) > start:
-                    rows.append((f"{i}{name[start:end]}", True, name, name))
-            for form in dict.fromkeys((name, swapped) if swapped else (name,)):
-                for i, (start, end) in enumerate(SEGMENTS):
-                    for shift in range(-i, i + 1):
-                        part = form[start + shift : end + shift]
-                        if part:
-                            rows.append((f"{i}{part}", False, form, name))
+            rows += [(f"{len(name)} {i} {name[start:end]}", True, name, name) for i, (start, end) in enumerate(_segments(len(name)))]
+            rows += [(shard, False, name, name) for shard in _probes(name, len(name))]
+            if swapped and swapped != name:
+                rows += [(shard, False, swapped, name) for shard in _probes(swapped, len(swapped) + K + 1)]
         yield pd.DataFrame(rows, columns=["shard", "is_index", "form", "name"])
 
 
@@ -174,8 +218,8 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not is_query:
                 trie.add(name)
             elif trie.root:
-                for other, d in trie.within(form, _allowed(len(form))):
-                    if other != name and d <= _allowed(len(other)) and (d <= K or slips(form, other) <= SLIPS):
+                for other, d in trie.within(form, min(_allowed(len(form)), _allowed(trie.size))):
+                    if other != name and (d <= K or slips(form, other) <= SLIPS):
                         out.add((min(name, other), max(name, other)))
         yield pd.DataFrame(sorted(out), columns=["a", "b"])
 

@@ -211,6 +211,47 @@ def test_trie_join_is_complete(spark, block):
             assert (a, b) in got
 
 
+def test_trie_join_finds_all_that_is_allowed(spark):
+    """Swaps at any place, also beside other edits, and three slips: the pairs are those of a comparison all against all."""
+    rng = random.Random(16)
+    names = set()
+    for length in (2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 14, 16, 19):
+        b = "".join(rng.choice("бвгдклмнрст") + rng.choice("аеиоу") for _ in range(10))[:length]
+        names.add(b)
+        for n in range(1, length):
+            swap = b[: n - 1] + b[n] + b[n - 1] + b[n + 1 :]
+            names |= {swap, "".join(c for i, c in enumerate(swap) if i != rng.randrange(length))}
+            s = list(b)
+            for i in rng.sample(range(length), min(3, length)):
+                s[i] = rng.choice(["", s[i] * 2, "з"])
+            names.add("".join(s))
+            t, at = list(b), rng.sample(range(length - 1), min(3, length - 1))
+            for i in at:
+                t[i], t[i + 1] = t[i + 1], t[i]
+            names.add("".join(t))
+    names.discard("")
+    rows = [(n, n[len(n) // 2 :] + n[: len(n) // 2] if i % 3 == 0 else None) for i, n in enumerate(sorted(names))]
+    got = {tuple(r) for r in name_link.trie_join(spark.createDataFrame(rows, "full string, swapped string"), 20_000).collect()}
+
+    def edits(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    want = set()
+    for name, swapped in rows:
+        for form in [name, swapped] if swapped else [name]:
+            for other, _ in rows:
+                most = min([0 if len(x) < 4 else 1 if len(x) < 8 else 2 if len(x) < 12 else 3 for x in (form, other)])
+                if other != name and abs(len(form) - len(other)) <= most and (n := edits(form, other)) <= most and (n < 3 or name_link.slips(form, other) <= 2.5):
+                    want.add((min(name, other), max(name, other)))
+    assert got == want
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(30)], "node string")
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(24) if i != 10], "a string, b string")
