@@ -5,7 +5,7 @@ Missing text is the empty string: each function treats null as ''.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,13 +117,25 @@ def column_rules(key: str, s: Column) -> Column:
     return s
 
 
-def normalize_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    """df with ``value`` normalised by the column that each row names, in two steps so that no rule is computed twice."""
-    out = F.col("_clean")
-    for k in COLUMNS:
-        if k not in ("code", "position_no"):
+def normalize_by_key(df: DataFrame, key: str, value: str, correct: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """df with ``value`` normalised by the column that each row names, in two steps so that no rule is computed twice.
+
+    correct: the spelling correction of a column of df; it comes after the rules of names and notes and before those of others.
+    """
+
+    def ruled(keys: Iterable[str]) -> Column:
+        out = F.col("_clean")
+        for k in keys:
             out = F.when(F.col(key) == k, column_rules(k, F.col("_clean"))).otherwise(out)
-    return df.withColumn("_clean", clean_text(value)).withColumn(value, out).drop("_clean")
+        return out
+
+    keys = [k for k in COLUMNS if k not in ("code", "position_no")]
+    clean = df.withColumn("_clean", clean_text(value))
+    if correct is not None:
+        first = [k for k in keys if k in ("name", "note")]
+        clean = correct(clean.withColumn("_clean", ruled(first)), "_clean")
+        keys = [k for k in keys if k not in first]
+    return clean.withColumn(value, ruled(keys)).drop("_clean")
 
 
 def plausibility(key: Column, value: Column) -> Column:

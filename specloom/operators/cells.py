@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions.text import NUMBER, ORDINARY, confidence, normalize_by_key, plausibility, strip, text
+from specloom.operators.spelling import CORRECTED, correct_texts
 from specloom.schema import COLUMNS, NUMERIC, THRESHOLDS, UNITS, Profile
-from specloom.session import checked_broadcast
+from specloom.session import checked_broadcast, cut
 
 PAGE = ["document_id", "page"]
 
@@ -109,10 +110,14 @@ def back_fill(rows: DataFrame, unit_again: str, quantity_again: str, unit_confid
     return filled.withColumn("quantity", quantity)
 
 
-def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """document_id, page, row_no, column_key, text, confidence, source of every cell that has words."""
+def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(), lexicon: DataFrame | None = None) -> DataFrame:
+    """document_id, page, row_no, column_key, text, confidence, source of every cell that has words; misspelt ones corrected if a lexicon is given."""
     cells = cell_texts(bucket_tokens(tokens, grid, profile)).withColumn("column_key", key_of(F.col("col_no"), profile))
-    normal = normalize_by_key(cells, "column_key", "text").withColumnRenamed("pass_name", "source")
+    correct = None
+    if lexicon is not None:
+        cells = cut(cells)
+        correct = lambda df, value: correct_texts(df, value, lexicon, F.col("column_key").isin(*CORRECTED))
+    normal = normalize_by_key(cells, "column_key", "text", correct).withColumnRenamed("pass_name", "source")
     best = choose_reading(normal, [*PAGE, "row_no", "column_key"], "pass_ordinal")
     value = remove_noise(F.col("column_key"), F.col("text"), F.col("confidence"))
     return best.withColumn("text", value).withColumn("confidence", F.round(F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0), 1))

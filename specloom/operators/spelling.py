@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import CYRILLIC, LATIN, indel_ratio
-from specloom.session import checked_broadcast
+from specloom.functions.text import CYRILLIC, LATIN, indel_ratio, match_case, strip
+from specloom.session import checked_broadcast, cut
 
 DELIMITERS = r"\s,;:()\[\]{}/."
+#: Columns whose texts are corrected.
+CORRECTED = ("name", "note", "manufacturer")
 
 
 def words_of(c: Column) -> Column:
@@ -52,3 +54,30 @@ def correct_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", e
     top = ranked.groupBy("word", "form").agg(F.max(F.when(F.col("r") == 1, F.struct("entry", "score"))).alias("a"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
     sure = (F.col("a.score") >= threshold(F.col("form"))) & ((F.col("a.score") - F.col("second") >= 5) | (F.col("a.score") >= 96))
     return top.where(sure).select("word", F.col("a.entry").alias("corrected"), F.round("a.score", 6).alias("score"))
+
+
+def correct_texts(df: DataFrame, value: str, lexicon: DataFrame, of: Column | None = None) -> DataFrame:
+    """df with the texts of ``value`` corrected, in the rows for which ``of`` holds.
+
+    lexicon: kind, lex_key, lex_value, ordinal. An entry of kind ``exact`` replaces a word whatever its nearness to those
+    of kind ``word``; the letter case stays. A text of two words or more that is then at least 91 of 100 like one of
+    kind ``phrase``, is at most five signs longer or shorter and doesn't hold it, becomes the first such phrase. Runs
+    of dots become one. Distinct texts are corrected once; null and empty ones are left alone.
+    """
+    of = F.lit(True) if of is None else of
+    texts = cut(df.where(of & (F.col(value) != "")).select(F.col(value).alias("text")).distinct())
+    pieces = texts.select("text", F.posexplode(words_of(F.col("text"))).alias("i", "piece"))
+    words = pieces.where(F.col("piece").rlike("[A-Za-zА-Яа-яЁё]")).select(F.col("piece").alias("word")).distinct()
+    near = correct_words(words, lexicon.where(F.col("kind") == "word").select(F.col("lex_key").alias("entry"), "ordinal")).select("word", "corrected")
+    exact = lexicon.where(F.col("kind") == "exact").groupBy(F.lower("lex_key").alias("low")).agg(F.min_by("lex_value", "ordinal").alias("exact"))
+    both = words.join(near, "word", "left").join(checked_broadcast(exact), F.lower("word") == F.col("low"), "left")
+    new = both.select("word", match_case(F.col("word"), F.coalesce("exact", "corrected")).alias("new")).where(F.col("new") != F.col("word"))
+    put = pieces.join(checked_broadcast(cut(new)), F.col("piece") == F.col("word"), "left").select("text", F.struct("i", F.coalesce("new", "piece").alias("piece")).alias("p"))
+    spelt = cut(put.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("spelt")).withColumn("low", F.lower(strip("spelt"))))
+    phrases = lexicon.where(F.col("kind") == "phrase").select(F.lower("lex_key").alias("phrase"), "ordinal").where(F.length("phrase") > 0)
+    phrases = phrases.withColumn("size", F.explode(F.sequence(F.length("phrase") - 5, F.length("phrase") + 5)))
+    alike = spelt.where(F.col("low").rlike(r"(?U)\S\s+\S")).join(checked_broadcast(phrases), F.length("low") == F.col("size"))
+    alike = alike.where(~F.contains("low", "phrase")).where(indel_ratio(F.col("low"), F.col("phrase")) >= 91).groupBy("text").agg(F.min(F.struct("ordinal", "phrase")).alias("first"))
+    whole = spelt.join(alike, "text", "left").withColumn("new", F.coalesce(match_case(F.col("spelt"), F.col("first.phrase")), "spelt"))
+    fixed = whole.select(F.col("text").alias("_text"), F.regexp_replace("new", r"\.{2,}", ".").alias("_new")).where(F.col("_new") != F.col("_text"))
+    return df.join(checked_broadcast(cut(fixed)), of & (F.col(value) == F.col("_text")), "left").withColumn(value, F.coalesce("_new", value)).drop("_text", "_new")

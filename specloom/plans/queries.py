@@ -27,9 +27,9 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def recognize_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens to result rows: buckets, cells, choice, noise, rows, continuation, context, status."""
+    """Tokens to result rows: buckets, cells, correction, choice, noise, rows, continuation, context, status."""
     tokens, grid = table(spark, d, "tokens"), table(spark, d, "page_grid")
-    found = rows.result_rows(cells.wide_rows(cells.read_cells(tokens, grid), grid))
+    found = rows.result_rows(cells.wide_rows(cells.read_cells(tokens, grid, lexicon=table(spark, d, "lexicon")), grid))
     return found.select("document_id", "row_id", "row_order", *COLUMNS, "section_name", "system_name", "row_type", "page", "confidence", "status", "source_row")
 
 
@@ -122,6 +122,13 @@ def fuzzy_correct(spark: SparkSession, d: str) -> DataFrame:
     return spelling.correct_words(words, vocabulary)
 
 
+@query
+def correct_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The corrected texts of names, notes and makers."""
+    texts = table(spark, d, "raw_rows").unpivot("raw_id", list(spelling.CORRECTED), "column_key", "text")
+    return spelling.correct_texts(texts, "text", table(spark, d, "lexicon"))
+
+
 @query
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "doc_meta").select("document_id", fx.safe_filename("title").alias("filename"))

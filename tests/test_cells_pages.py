@@ -77,6 +77,31 @@ def test_spelling(spark):
     assert got == {"клaпан": "клапан"}
 
 
+def test_corrected_texts(spark):
+    from specloom.schema import Profile
+
+    entries = [("word", "клапан", None), ("word", "клапана", None), ("word", "отвод", None), ("exact", "фультр", "фильтр"), ("exact", "отвот", "отвода"), ("phrase", "привод воздушного клапана", None)]
+    lexicon = spark.createDataFrame([(*e, i) for i, e in enumerate(entries)], "kind string, lex_key string, lex_value string, ordinal int")
+    cases = {
+        "Клaпан, ФУЛЬТР (клaпан/Отвот) К25..": "Клапан, ФИЛЬТР (клапан/Отвода) К25.",
+        "Привод воздушнаго клапана": "Привод воздушного клапана",
+        "Привод воздушного клапана 5": "Привод воздушного клапана 5",
+        "труба": "труба",
+        "": "",
+        None: None,
+    }
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate([*cases, "труба"])], "i int, text string, given string")
+    got = [(r["given"], r["text"]) for r in spelling.correct_texts(df, "text", lexicon).collect()]
+    assert len(got) == len(cases) + 1
+    assert dict(got) == cases
+    left = spelling.correct_texts(df, "text", lexicon, F.col("i") > 0).where("i = 0").first()
+    assert left["text"] == left["given"]
+    g, t = grid(spark, [0, 20, 40], [0, 20]), tokens(spark, [(2, 2, 8, 8, 90.0, "Клaпан"), (12, 2, 5, 8, 90.0, "фультр"), (22, 2, 8, 8, 90.0, "фультр")])
+    profile = Profile(header_rows=0, columns=("name", "type_mark"))
+    assert {r["column_key"]: r["text"] for r in cells.read_cells(t, g, profile, lexicon).collect()} == {"name": "Клапан фильтр", "type_mark": "фультр"}
+    assert {r["column_key"]: r["text"] for r in cells.read_cells(t, g, profile).collect()}["name"] == "Клaпан фультр"
+
+
 def test_export_and_review(spark, tmp_path):
     df = spark.createDataFrame([("Отвод\tА", "шт.", "12,5", "item", True, "review"), ("Раздел", "", "", "section", None, "review"), ("Лист", "м", "x", "item", False, "edited"), ("", "", "", "item", None, "recognized")], "name string, unit string, quantity string, row_type string, selected boolean, status string")
     out = export.with_numbers(export.export_rows(df, ["name", "unit", "quantity", "nosuch"]))
