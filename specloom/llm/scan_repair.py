@@ -6,8 +6,9 @@ holds no value within the bound, so retrieval is complete. Candidates are ranked
 which shapes a scanner confuses and by how often the candidate follows the word before it in the corpus.
 Lines that belong to the page are removed, words broken over lines are joined, the rest is reflowed.
 
-The vocabulary is the list of words plus every word that stands in at least one of ``1 / FREQUENT`` cells:
-by that rule it can't hold more words than a cell has on average times FREQUENT, however large the corpus.
+The vocabulary is the list of words plus every word that stands in at least ``1 / FREQUENT`` of the distinct texts and in
+two of them, unless it is near enough to a listed word to be a misreading of it: copies of a misread cell are one text.
+By that rule it can't hold more words than a text has on average times FREQUENT, however large the corpus.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from specloom.llm.lookalikes import Unifier
 from specloom.llm.vocabulary import Lexicon
 
-#: A word that stands in one of so many cells belongs to the vocabulary.
-FREQUENT = 500
+#: A word that stands in one of so many distinct texts, and in LEAST of them, belongs to the vocabulary.
+FREQUENT, LEAST = 500, 2
 #: Signs that a scan leaves of ruled lines and dirt.
 DIRT = "|~_^*#=¬'`\"{}<>\\"
 _DIRT = re.compile(rf"[{re.escape(DIRT)}]")
@@ -256,47 +257,48 @@ class Repairer:
 
 
 def count_words(rows: DataFrame, columns: list[str], listed: set[str]) -> tuple[set[str], dict[tuple[str, str], int]]:
-    """The frequent words of the columns, and how often listed words and figures follow each other: over all rows."""
+    """The frequent words of the columns by distinct texts, without those near a listed one, and how often listed words and figures follow each other over all rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain = Unifier(SIGNS, {}, {})
         seen: Counter[tuple[str, str, str]] = Counter()
         flush = lambda: pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "a", "b", "n"])
         for batch in batches:
-            for column in columns:
-                for text in batch[column]:
-                    if not text or not text.strip():
+            for text, times in zip(batch["text"], batch["times"]):
+                if not text.strip():
+                    continue
+                seen["text", "", ""] += 1
+                words: set[str] = set()
+                before = ""
+                for line in lines_of(plain.rewrite("", text)):
+                    if _FURNITURE.match(line):
                         continue
-                    seen["cell", "", ""] += 1
-                    words: set[str] = set()
-                    before = ""
-                    for line in lines_of(plain.rewrite("", text)):
-                        if _FURNITURE.match(line):
-                            continue
-                        parts = line.split()
-                        if parts and _BREAK.search(line):
-                            parts.pop()
-                        for p in parts:
-                            core = _EDGE.match(p).group(2)  # type: ignore[union-attr]
-                            low = core.lower()
-                            now = "#" if core[:1].isdigit() or core[:1] == "Ø" else low if low in listed else ""
-                            if before and now:
-                                seen["pair", before, now] += 1
-                            before = now if p[-1:] not in ",;.:" else ""
-                            if low.isalpha() and low not in listed:
-                                words.add(low)
-                    for w in words:
-                        seen["word", w, ""] += 1
+                    parts = line.split()
+                    if parts and _BREAK.search(line):
+                        parts.pop()
+                    for p in parts:
+                        core = _EDGE.match(p).group(2)  # type: ignore[union-attr]
+                        low = core.lower()
+                        now = "#" if core[:1].isdigit() or core[:1] == "Ø" else low if low in listed else ""
+                        if before and now:
+                            seen["pair", before, now] += times
+                        before = now if p[-1:] not in ",;.:" else ""
+                        if low.isalpha() and low not in listed:
+                            words.add(low)
+                for w in words:
+                    seen["word", w, ""] += 1
             if len(seen) > 200_000:
                 yield flush()
                 seen.clear()
         yield flush()
 
-    counts = rows.select(*columns).mapInPandas(count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    cells = counts.where(F.col("what") == "cell").select(F.col("n").alias("cells"))
-    frequent = counts.crossJoin(F.broadcast(cells)).where((F.col("what") == "pair") | (F.col("what") == "word") & (F.col("n") * FREQUENT >= F.col("cells")))
+    texts = rows.select(F.explode(F.array(*columns)).alias("text")).where(F.col("text") != "").groupBy("text").agg(F.count("*").alias("times"))
+    counts = texts.mapInPandas(count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    total = counts.where(F.col("what") == "text").select(F.col("n").alias("texts"))
+    frequent = counts.crossJoin(F.broadcast(total)).where((F.col("what") == "pair") | (F.col("what") == "word") & (F.col("n") >= LEAST) & (F.col("n") * FREQUENT >= F.col("texts")))
     got = frequent.select("what", "a", "b", "n").collect()  # words by the rule of FREQUENT, pairs by the list squared
-    return {r["a"] for r in got if r["what"] == "word"}, {(r["a"], r["b"]): r["n"] for r in got if r["what"] == "pair"}
+    by_list = Repairer(listed, {})
+    return {r["a"] for r in got if r["what"] == "word" and by_list.nearest(r["a"], "") is None}, {(r["a"], r["b"]): r["n"] for r in got if r["what"] == "pair"}
 
 
 def repair_text(rows: DataFrame, key: str, columns: list[str], lexicon: DataFrame) -> DataFrame:

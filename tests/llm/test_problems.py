@@ -117,6 +117,17 @@ def test_repair(spark, lexicon, no_lexicon):
     assert scan_repair.repair_text(long, "raw_id", ["name"], lexicon).collect()[0]["wrong"] == []
 
 
+def test_copies_of_a_misreading_are_no_words(spark, lexicon):
+    """One text many times, and one word misread alike in many texts; a word that is near no listed one stays as it is."""
+    texts = ["Клалан стальной"] * 40 + [f"Муфта стальнся {i}" for i in range(30)] + [f"Клапан кгрвщшф {i}" for i in range(30)] + ["Муфта"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "raw_id long, name string")
+    got = {r["raw_id"]: (r["repaired"], " ".join(r["wrong"])) for r in scan_repair.repair_text(df, "raw_id", ["name"], lexicon).collect()}
+    assert {got[i] for i in range(40)} == {("Клапан стальной", "misread")}
+    assert {got[i] for i in range(40, 70)} == {(f"Муфта стальной {i}", "misread") for i in range(30)}
+    assert {got[i] for i in range(70, 101)} == {(t, "") for t in texts[70:]}
+    assert scan_repair.count_words(df, ["name"], set(WORDS))[0] == {"кгрвщшф"}
+
+
 # 4
 
 
