@@ -7,7 +7,7 @@ that allows k edits is cut into k + 1 segments. Edits within segments leave one
 with i edits to its left and at most k - i to its right; a swap over a border counts for neither segment, as
 queries also come with the letters of a border swapped back. So every pair that is allowed meets in a shard.
 Both orders of the words of a name are queried. Cores joined this way form classes; shortened names are then
-attached by the word they keep.
+attached by the word they keep, which meets the words of cores in a trie join of its own.
 
 A shard with more than BLOCK cores is split into blocks, and its queries visit each; nothing is cut off.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,7 +72,7 @@ def cyrillic(word: str) -> str:
 
 
 def core(raw: str | None, places: set[str]) -> tuple[str, list[str]]:
-    """full, short or '' (names nobody), and the words of the name; for short ones the kept word, then the cut one."""
+    """full, short or '' (names nobody), and the words of the name; for short ones the kept word, then the cut ones."""
     s = plain(raw or "")
     if re.sub(r"[^\w]+", " ", s).strip() in NOBODY:
         return "", []
@@ -92,7 +92,7 @@ def core(raw: str | None, places: set[str]) -> tuple[str, list[str]]:
         return "full", ["".join(w for w, _ in words)]
     if not cut_off and len(whole[0]) >= 10:
         return "full", whole
-    return "short", whole + cut_off[:1]
+    return "short", whole + cut_off
 
 
 def slips(a: str, b: str) -> float:
@@ -207,6 +207,18 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["shard", "is_index", "form", "name"])
 
 
+def _word_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of words that are held by cores, and of kept ones that ask for them."""
+    for b in batches:
+        rows = []
+        for word, held in zip(b["word"], b["held"]):
+            if held:
+                rows += [(f"{len(word)} {i} {word[start:end]}", True, word, word) for i, (start, end) in enumerate(_segments(len(word)))]
+            else:
+                rows += [(shard, False, word, word) for shard in _probes(word, len(word) + K + 1)]
+        yield pd.DataFrame(rows, columns=["shard", "is_index", "form", "name"])
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shard by shard, index rows first: builds the trie, then walks it with each query."""
     at, trie = None, NameTrie()
@@ -224,9 +236,9 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
-def trie_join(cores: DataFrame, block: int = BLOCK) -> DataFrame:
-    """a, b: the distinct pairs of ``full`` strings within the edits allowed, either order of words. Wants distinct full, swapped."""
-    rows = cut(cores.mapInPandas(_shards, "shard string, is_index boolean, form string, name string"))
+def trie_join(cores: DataFrame, block: int = BLOCK, shards: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = _shards) -> DataFrame:
+    """a, b: the distinct pairs of ``full`` strings within the edits allowed, either order of words. Wants distinct full, swapped, or what ``shards`` reads."""
+    rows = cut(cores.mapInPandas(shards, "shard string, is_index boolean, form string, name string"))
     heavy = rows.where("is_index").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > block).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = rows.join(checked_broadcast(heavy), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
@@ -253,12 +265,34 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
+def _attach_short(short: DataFrame, of_full: DataFrame) -> DataFrame:
+    """value, label of shortened names (value, words: the kept word, then cut ones), given value, n, words, label of full ones."""
+    short = short.select("value", F.col("words")[0].alias("kept"), F.expr("slice(words, 2, size(words))").alias("cuts"))
+    held = of_full.select(F.explode("words").alias("word"), "words", "label", "n")
+    held = cut(held.groupBy("word", "label").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set(F.array_except("words", F.array("word"))))).alias("others")))
+    asked = cut(short.select("kept", "cuts").distinct())
+    words = held.select("word", F.lit(True).alias("held")).unionByName(asked.select(F.col("kept").alias("word"), F.lit(False).alias("held"))).distinct()
+    near = cut(trie_join(words, shards=_word_shards))
+    same = asked.select("kept", F.col("kept").alias("word"), F.lit(0).alias("far")).distinct()
+    met = same.unionByName(near.select(F.col("a").alias("kept"), F.col("b").alias("word"), F.lit(1).alias("far"))).unionByName(near.select(F.col("b").alias("kept"), F.col("a").alias("word"), F.lit(1).alias("far")))
+    fits = F.size(F.filter("cuts", lambda c: F.exists("others", lambda o: o.startswith(c))))
+    found = asked.join(met, "kept").join(held, "word").withColumn("fits", fits).where((F.col("far") == 0) | (F.col("fits") > 0) | (F.size("cuts") == 0))
+    best = found.groupBy("kept", "cuts").agg(F.min(F.struct((-F.col("fits")).alias("f"), "far", (-F.col("n")).alias("m"), "label")).alias("b")).select("kept", "cuts", "b.label")
+    labelled = cut(asked.join(best, ["kept", "cuts"], "left"))
+    alone = labelled.where(F.col("label").isNull()).select(F.col("kept").alias("full"), F.lit(None).cast("string").alias("swapped")).distinct()
+    own = components(alone.select(F.col("full").alias("node")), trie_join(alone)).select(F.col("node").alias("kept"), F.col("label").alias("own"))
+    labelled = labelled.join(own, "kept", "left").select("kept", "cuts", F.coalesce("label", "own").alias("label"))
+    return short.join(labelled, ["kept", "cuts"]).select("value", "label")
+
+
 def spelling_classes(rows: DataFrame, column: str = "manufacturer") -> DataFrame:
     """value, label: each distinct spelling that names someone, and its class.
 
     Nulls, empty values and entries that name nobody are left out. Ties never decide: a class is labelled by
-    its smallest core. A shortened name goes to the class with most rows among those that hold its kept
-    word, and at a tie to the smallest label; without such a class it forms one with its equals.
+    its smallest core. A shortened name goes to a class that holds its kept word or one within the edits allowed: to one
+    whose other words begin with its cut ones if there is such a class, then to one with the same word, then to the one with
+    most rows, and at a tie to the smallest label. A word that isn't the same counts only if a cut one fits or there
+    is none. Without such a class it forms one with those whose kept words are joined.
     """
     total = rows.count()
     named = rows.select(F.lower(F.regexp_extract(F.col(column), _PLACE, 1)).alias("place")).where(F.col("place") != "")
@@ -271,7 +305,7 @@ def spelling_classes(rows: DataFrame, column: str = "manufacturer") -> DataFrame
             for value, n in zip(b["value"], b["n"]):
                 kind, words = core(value, places)
                 if kind == "full":
-                    out.append((value, n, "".join(words), "".join(words[1:] + words[:1]) if len(words) > 1 else None, words[:2] if len(words) > 1 else []))
+                    out.append((value, n, "".join(words), "".join(words[1:] + words[:1]) if len(words) > 1 else None, words[:2]))
                 elif kind == "short":
                     out.append((value, n, None, None, words))
             yield pd.DataFrame(out, columns=["value", "n", "full", "swapped", "words"])
@@ -282,10 +316,7 @@ def spelling_classes(rows: DataFrame, column: str = "manufacturer") -> DataFrame
     edges = trie_join(cores)
     label = cut(components(full.select(F.col("full").alias("node")).distinct(), edges))
     of_full = full.join(label, full["full"] == label["node"]).select("value", "n", "words", "label")
-    held = of_full.select(F.explode("words").alias("word"), "label", "n").groupBy("word", "label").agg(F.sum("n").alias("n"))
-    best = held.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b")).select("word", F.col("b.label").alias("label"))
-    short = parsed.where(F.col("full").isNull()).select("value", F.col("words")[0].alias("word"))
-    of_short = short.join(best, "word", "left").select("value", F.coalesce("label", "word").alias("label"))
+    of_short = _attach_short(parsed.where(F.col("full").isNull()).select("value", "words"), of_full)
     return of_full.select("value", "label").unionByName(of_short)
 
 
