@@ -114,11 +114,11 @@ def shape_distance(read: str, word: str) -> float:
 
 
 def alternatives(word: str) -> list[str]:
-    """word with groups of signs replaced by the letters they are read for."""
+    """word with groups of signs replaced by the letters they are read for: all choices of the groups it holds."""
     out = [word]
     for group, letter in GROUPS.items():
         out += [w.replace(group, letter) for w in out if group in w]
-    return list(dict.fromkeys(out))[:16]
+    return list(dict.fromkeys(out))
 
 
 def lines_of(text: str) -> list[str]:

@@ -117,6 +117,12 @@ def test_repair(spark, lexicon, no_lexicon):
     assert scan_repair.repair_text(long, "raw_id", ["name"], lexicon).collect()[0]["wrong"] == []
 
 
+def test_all_groups_of_a_token_are_read():
+    """Five groups for five letters: only the form with all of them replaced is near the word."""
+    assert len(scan_repair.alternatives("гль1)кппср")) == 32
+    assert scan_repair.Repairer({"мыжпф"}, {}).nearest("гль1)кппср", "") == "мыжпф"
+
+
 def test_copies_of_a_misreading_are_no_words(spark, lexicon):
     """One text many times, and one word misread alike in many texts; a word that is near no listed one stays as it is."""
     texts = ["Клалан стальной"] * 40 + [f"Муфта стальнся {i}" for i in range(30)] + [f"Клапан кгрвщшф {i}" for i in range(30)] + ["Муфта"]
