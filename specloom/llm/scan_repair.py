@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from specloom.llm.lookalikes import Unifier
 from specloom.llm.vocabulary import Lexicon
+from specloom.session import cut
 
 #: A word that stands in one of so many distinct texts, and in LEAST of them, belongs to the vocabulary.
 FREQUENT, LEAST = 500, 2
+#: A pair of words counts for the ranking if it is one of so many pairs or more frequent.
+PAIRS = 100_000
 #: Signs that a scan leaves of ruled lines and dirt.
 DIRT = "|~_^*#=¬'`\"{}<>\\"
 _DIRT = re.compile(rf"[{re.escape(DIRT)}]")
@@ -35,23 +38,27 @@ _EDGE = re.compile(r"^([(«]*)(.*?)([)».,;:!?]*)$", re.DOTALL)
 _FIGURE = re.compile(r"^(?:[+±-]?\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)?(?:×\d+(?:[.,]\d+)?)+|Ø\d+(?:[.,]\d+)?|[IVX]+|[A-Z]{2,}\d*|[A-ZА-ЯЁ]{1,2}\d*|№\d*|[-–—+/×%°]+|\d+-[а-яё]{1,2})$")
 _BREAK = re.compile(r"[-‐‑¬=–]\s*$")
 
-#: Fixed values. Lines of the sheet frame and its stamp: page numbers, sheet codes, captions of the stamp.
-FURNITURE = [
-    r"[-–—‐‑]\s*\d{1,4}\s*[-–—‐‑]",
-    r"\[\s*\d{1,4}\s*\]",
-    r"\d{1,4}\s*/\s*\d{1,4}",
-    r"(?:стр|лист|с)\.?\s*\d{1,4}(?:\s*из\s*\d{1,4})?\.?",
-    r"стадия\b.*",
-    r"инв\.?\s*№.*",
-    r"взам\.?\s*инв.*",
-    r"подп\.?\s*и\s*дата.*",
-    r"изм\.?\s*кол.*",
-    r"копировал.*",
-    r"формат\s*[аa]\d.*",
-    r"спецификация оборудования.*",
-    r"[а-яёa-z]{1,4}-\d+[.-][а-яёa-z.]{1,6}(?:\s+лист\s*\d+)?",
+#: Fixed values. Captions that the frame of a sheet has, whole lines; and the code of a specification, which ends in .С or .СО.
+STAMP = [
+    r"стадия\s+\w{1,3}\s+лист\b.*",
+    r"инв\.?\s*№\s*подл\.?\s*\S*",
+    r"взам\.?\s*инв\.?\s*№.*",
+    r"подп\.?\s*и\s*дата",
+    r"изм\.?\s*кол\.?\s*уч.*",
+    r"копировал:?",
+    r"формат\s*[аa]\d(?:\s*[xх×]\s*\d)?",
+    r"спецификация оборудования(?:,? изделий)?(?: и (?:изделий|материалов))?",
 ]
-_FURNITURE = re.compile(r"^\s*(?:" + "|".join(FURNITURE) + r")\s*$", re.IGNORECASE)
+_STAMP = re.compile(r"^\s*(?:" + "|".join(STAMP) + r")\s*$", re.IGNORECASE)
+_SHEET_CODE = re.compile(r"^\s*[А-ЯЁA-Z]{1,4}-\d+(?:-[А-ЯЁA-Z]{1,4})?\.[СC][ОO]?(?:\s+[Лл]ист\s*\d{1,4})?\s*$")
+#: Page numbers that are marked as such by signs, by a word, or by the number of all pages.
+_SIGNED_NUMBER = re.compile(r"^\s*(?:[-–—‐‑]\s*\d{1,4}\s*[-–—‐‑]|\[\s*\d{1,4}\s*\])\s*$")
+_NAMED_NUMBER = re.compile(r"^\s*(?:[Сс]тр\.?|Лист|[Сс]\.)\s*(\d{1,4})(?:\s*из\s*(\d{1,4}))?\.?\s*$")
+_NUMBER_OF = re.compile(r"^\s*(\d{1,4})\s+/\s+(\d{1,4})\s*$")
+#: What a reference to another sheet ends with before its number.
+_REFERS = re.compile(r"(?:^|[\s,;(])(?:см|смотри|по|п|пп|рис|черт)\.?\s*$", re.IGNORECASE)
+_SHEET = re.compile(r"(?:лист|стр\.?|с\.)\s*\d", re.IGNORECASE)
+_OF_UNIT = re.compile(r"(?:мм|шт|см|м|кг)\b")
 #: Fixed values. The captions of the stamp, letters only, for lines that were misread themselves.
 CAPTIONS = ["копировал", "формата", "стадиярлистлистов", "взаминвподпидата", "инвподл", "измколучлистдокподпдата", "спецификацияоборудованияиизделий"]
 _BARE_NUMBER = re.compile(r"^\d{1,3}$")
@@ -125,6 +132,16 @@ def lines_of(text: str) -> list[str]:
     return [x.strip() for x in re.split(r"\r\n|\r|\n", text)]
 
 
+def caption_or_code(line: str) -> bool:
+    return bool(_STAMP.match(line) or _SHEET_CODE.match(line))
+
+
+def page_number(line: str) -> bool:
+    """Whether a line has the form of a page number; one of several pages can't be beyond their number."""
+    m = _NAMED_NUMBER.match(line) or _NUMBER_OF.match(line)
+    return m is not None and (m[2] is None or int(m[1]) <= int(m[2])) or bool(_SIGNED_NUMBER.match(line))
+
+
 class Repairer:
     """words: the vocabulary in lower case. follows: how often a word follows another; '#' stands for a figure."""
 
@@ -198,25 +215,37 @@ class Repairer:
         if (hit := self.captions.get(line)) is None:
             cores = [_EDGE.match(p).group(2) for p in line.split()]  # type: ignore[union-attr]
             letters = re.sub(r"[^\w]|_", "", re.sub(r"(?<![^\W\d])\d+(?![^\W\d])", "", line.lower()))
-            hit = len(letters) < 60 and not all(self.valid(c) for c in cores if c) and any(abs(len(letters) - len(c)) <= len(c) // 4 and shape_distance(letters, c) <= len(c) / 4 for c in CAPTIONS)
+            hit = len(letters) < 60 and not all(self.valid(c) for c in cores if c) and any(abs(len(letters) - len(c)) <= len(c) // 4 and shape_distance(letters, c) <= min(5.0, len(c) / 4) for c in CAPTIONS)
             if len(self.captions) > 100_000:
                 self.captions.clear()
             self.captions[line] = hit
         return hit
 
-    def furniture(self, lines: list[str], i: int) -> bool:
-        """Whether a line belongs to the page. A bare number does unless a figure is due where it stands."""
-        line = lines[i]
-        if _FURNITURE.match(line):
+    def due(self, kept: list[str], following: str) -> bool:
+        """Whether a figure is due after the lines kept so far: their last word calls for one, and the next line doesn't bring it."""
+        if not kept or _BREAK.search(kept[-1]) or kept[-1].endswith((",", ".")) or following[:1].isdigit() and not _BARE_NUMBER.match(following) and not page_number(following):
+            return False
+        word = re.search(r"([^\W\d_]+)\W*$", kept[-1].lower())
+        return word is not None and self.follows.get((word[1], "#"), 0) > 0.002 * max(1, self.before_figure)
+
+    def furniture(self, kept: list[str], lines: list[str], i: int) -> bool:
+        """Whether a line belongs to the page.
+
+        The captions of the frame do, also misread; a page number does unless the text has its place for it: after a
+        reference, where a figure is due, or, if it is nothing but a number, before a unit or as the only line.
+        """
+        line, following = lines[i], lines[i + 1] if i + 1 < len(lines) else ""
+        if caption_or_code(line):
             return True
+        if page_number(line):
+            if _NUMBER_OF.match(line):
+                return following[:1].isdigit() or not self.due(kept, following)
+            return not (kept and _NAMED_NUMBER.match(line) and _REFERS.search(kept[-1]) and not _SHEET.match(following))
         if len(lines) == 1:
             return False
         if not _BARE_NUMBER.match(line):
             return self.caption(line)
-        if i + 1 < len(lines) and re.match(r"(?:мм|шт|см|м|кг)\b", lines[i + 1]) and i:
-            return False
-        before = re.findall(r"[^\W\d_]+", lines[i - 1].lower())[-1:] if i else []
-        return not (before and not _BREAK.search(lines[i - 1]) and not lines[i - 1].endswith((",", ".")) and self.follows.get((before[0], "#"), 0) > 0.002 * max(1, self.before_figure))
+        return not (kept and _OF_UNIT.match(following)) and not self.due(kept, following)
 
     def repair(self, text: str) -> tuple[str, set[str]]:
         """The continuous text and what was wrong: page, broken, misread."""
@@ -224,7 +253,7 @@ class Repairer:
         lines = [x for x in lines_of(self.unifier.rewrite("", text))]
         kept = []
         for i, line in enumerate(lines):
-            if line and self.furniture(lines, i):
+            if line and self.furniture(kept, lines, i):
                 wrong.add("page")
             elif line:
                 kept.append(line)
@@ -271,7 +300,7 @@ def count_words(rows: DataFrame, columns: list[str], listed: set[str]) -> tuple[
                 words: set[str] = set()
                 before = ""
                 for line in lines_of(plain.rewrite("", text)):
-                    if _FURNITURE.match(line):
+                    if caption_or_code(line) or page_number(line):
                         continue
                     parts = line.split()
                     if parts and _BREAK.search(line):
@@ -292,11 +321,13 @@ def count_words(rows: DataFrame, columns: list[str], listed: set[str]) -> tuple[
                 seen.clear()
         yield flush()
 
-    texts = rows.select(F.explode(F.array(*columns)).alias("text")).where(F.col("text") != "").groupBy("text").agg(F.count("*").alias("times"))
-    counts = texts.mapInPandas(count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    total = counts.where(F.col("what") == "text").select(F.col("n").alias("texts"))
-    frequent = counts.crossJoin(F.broadcast(total)).where((F.col("what") == "pair") | (F.col("what") == "word") & (F.col("n") >= LEAST) & (F.col("n") * FREQUENT >= F.col("texts")))
-    got = frequent.select("what", "a", "b", "n").collect()  # words by the rule of FREQUENT, pairs by the list squared
+    distinct = rows.select(F.explode(F.array(*columns)).alias("text")).where(F.col("text") != "").groupBy("text").agg(F.count("*").alias("times"))
+    counts = distinct.mapInPandas(count, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    total = counts.agg(F.sum(F.when(F.col("what") == "text", F.col("n"))).alias("texts"), F.sum(F.when(F.col("what") == "pair", F.col("n"))).alias("pairs")).first()
+    texts, pairs = total["texts"] or 0, total["pairs"] or 0
+    often = (F.col("what") == "pair") & (F.col("n") * PAIRS >= pairs) | (F.col("what") == "word") & (F.col("n") >= LEAST) & (F.col("n") * FREQUENT >= texts)
+    got = counts.where(often).select("what", "a", "b", "n").collect()  # at most PAIRS pairs, words by the rule of FREQUENT
     by_list = Repairer(listed, {})
     return {r["a"] for r in got if r["what"] == "word" and by_list.nearest(r["a"], "") is None}, {(r["a"], r["b"]): r["n"] for r in got if r["what"] == "pair"}
 

@@ -117,6 +117,25 @@ def test_repair(spark, lexicon, no_lexicon):
     assert scan_repair.repair_text(long, "raw_id", ["name"], lexicon).collect()[0]["wrong"] == []
 
 
+def test_page_lines_and_text_that_looks_like_them():
+    """A line is taken for the page's only where the text has no place for it; the words after them were met before figures."""
+    repairer = scan_repair.Repairer(set(WORDS) | {"чертёж", "узла", "лист", "см"}, {("узла", "#"): 50, ("лист", "#"): 50, ("длина", "#"): 50})
+    kept = ["Муфта переходная\n32/25", "Муфта переходная\n25/32", "Труба стальная\nс 20", "Отвод\nВН-12-а", "чертёж узла 17, см.\nлист 8", "чертёж узла 17, см.\nЛист 8", "Муфта\nстадия монтажа", "Клапан, длина\n150\nмм", "чертёж узла\n150", "17", "Муфта\nспецификация оборудования прилагается"]
+    for text in kept:
+        assert "page" not in repairer.repair(text)[1], text
+    cut = {"чертёж узла 17, см.\nСтр. 3\nлист 8": "чертёж узла 17, см. лист 8", "чертёж узла\n12\n150, см. лист 3": "чертёж узла 150, см. лист 3", "чертёж узла 17, см. лист 8\n12": "чертёж узла 17, см. лист 8", "12 / 58\nКлапан": "Клапан", "Клапан\nстр. 4 из 58": "Клапан", "Клапан\n- 4 -": "Клапан", "[4]\nКлапан": "Клапан", "Клапан\nОВ-12.СО": "Клапан", "Клапан\nСО-12-ОВ.С  лист 4": "Клапан", "Клапан\nИнв. № подл. 12": "Клапан", "Стадия Р  Лист 5  Листов 9\nКлапан": "Клапан", "Клапан\nИзм. Кол.уч. Лист № док. Подп. Дата": "Клапан"}
+    for text, to in cut.items():
+        assert repairer.repair(text) == (to, {"page"}), text
+
+
+def test_equal_cells_in_a_larger_corpus(spark, lexicon):
+    """Cells come out alike alone and among many others, misread ones and copies included."""
+    few = ["Клалан стальной", "Кла-\nпан, длина 5", "Муфта\nСтр. 4", "Клапан длнна 15", "монтаж|место", "хкгз для муфты"]
+    more = few * 3 + [f"Клалан {w} длина {i}" for i, w in enumerate(WORDS * 20)] + [f"Муфта для {w}\n{i}" for i, w in enumerate(WORDS * 5)]
+    alone, among = ({r["text"]: (r["repaired"], r["wrong"]) for r in scan_repair.repair_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "raw_id long, name string"), "raw_id", ["name"], lexicon).collect()} for texts in (few, more))
+    assert {t: among[t] for t in few} == alone
+
+
 def test_all_groups_of_a_token_are_read():
     """Five groups for five letters: only the form with all of them replaced is near the word."""
     assert len(scan_repair.alternatives("гль1)кппср")) == 32
