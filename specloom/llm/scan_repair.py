@@ -85,20 +85,34 @@ class Trie:
             node[""] = w
 
     def within(self, word: str, k: int) -> list[tuple[str, int]]:
-        """All words within k edits of word, each with its distance."""
+        """All words within k edits of word, each with its distance.
+
+        The automaton of Levenshtein is run as k + 1 bit masks: bit i of mask e says that i letters of word can be read
+        with e edits. A branch ends when the last mask, which holds all others, is empty.
+        """
+        at: dict[str, int] = {}
+        for i, x in enumerate(word):
+            at[x] = at.get(x, 0) | 1 << i
+        whole = 1 << len(word)
+        mask = 2 * whole - 1
         found: list[tuple[str, int]] = []
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack = [(self.root, [(2 << e) - 1 & mask for e in range(k + 1)])]
         while stack:
-            node, row = stack.pop()
+            node, rows = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= k:
-                        found.append((child, row[-1]))
+                    if rows[k] & whole:
+                        found.append((child, next(e for e, r in enumerate(rows) if r & whole)))
                     continue
-                new = [row[0] + 1]
-                for j, x in enumerate(word):
-                    new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != c)))
-                if min(new) <= k:
+                hit = at.get(c, 0)
+                before = rows[0]
+                last = (before & hit) << 1
+                new = [last]
+                for r in rows[1:]:
+                    last = (((r & hit) | before | last) << 1 | before) & mask
+                    new.append(last)
+                    before = r
+                if last:
                     stack.append((child, new))
         return found
 
@@ -150,6 +164,7 @@ class Repairer:
         self.trie = Trie(w for w in words if len(w) > 2)
         self.unifier = Unifier(SIGNS, {}, {})
         self.tokens: dict[tuple[str, str], tuple[str, bool]] = {}
+        self.met: dict[str, list[tuple[str, float]]] = {}
         self.captions: dict[str, bool] = {}
         self.before_figure = sum(n for (_, b), n in follows.items() if b == "#")
 
@@ -157,17 +172,23 @@ class Repairer:
         low = core.lower()
         return low in self.words or bool(_FIGURE.match(core)) or ("-" in core and all(p in self.words for p in low.split("-")))
 
+    def candidates(self, low: str) -> list[tuple[str, float]]:
+        """The words a misread one may stand for, each with the price of its shapes."""
+        if (hit := self.met.get(low)) is None:
+            hit = []
+            for form in alternatives(low):
+                for word, _ in self.trie.within(form, bound(form)):
+                    if (shapes := shape_distance(form, word)) <= len(form) / 3:
+                        hit.append((word, shapes + (0.3 if form != low else 0.0)))
+            if len(self.met) > 200_000:
+                self.met.clear()
+            self.met[low] = hit
+        return hit
+
     def nearest(self, core: str, before: str) -> str | None:
         """The word that a misread one stands for, in its letter case; None if nothing is near."""
-        low, best = core.lower(), None
-        for form in alternatives(low):
-            for word, _ in self.trie.within(form, bound(form)):
-                shapes = shape_distance(form, word)
-                if shapes > len(form) / 3:
-                    continue
-                cost = shapes + (0.3 if form != low else 0.0) - 0.25 * math.log1p(self.follows.get((before, word), 0))
-                if best is None or (cost, word) < best:
-                    best = (cost, word)
+        low = core.lower()
+        best = min(((price - 0.25 * math.log1p(self.follows.get((before, word), 0)), word) for word, price in self.candidates(low)), default=None)
         if best is None:
             return None
         word = best[1]
