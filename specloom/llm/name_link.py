@@ -6,10 +6,13 @@ their letters, each shard is a trie, and a query walks it with the rows of its L
 that allows k edits is cut into k + 1 segments. Edits within segments leave one of them whole, number i from 0
 with i edits to its left and at most k - i to its right; a swap over a border counts for neither segment, as
 queries also come with the letters of a border swapped back. So every pair that is allowed meets in a shard.
-Both orders of the words of a name are queried. Cores joined this way form classes; shortened names are then
-attached by the word they keep, which meets the words of cores in a trie join of its own.
+Names are queried in every order of their words: all permutations up to ORDERS words; of longer ones, in which at
+least two words are untouched by the edits, every choice of TOUCHED words is put after the others, which are sorted
+and make a shard of their own, in all orders. Cores joined this way form classes; shortened names are then attached
+by the word they keep, which meets the words of cores in a trie join of its own.
 
-A shard with more than BLOCK cores is split into blocks, and its queries visit each; nothing is cut off.
+A shard with more than BLOCK cores or queries is split both ways, and each part of the queries visits each block of
+the cores; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import combinations, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +34,14 @@ K = 2
 #: swapped, at most one replaced): names of different makers differ by letters replaced.
 LONG = 12
 SLIP, SLIPS = 0.75, 2.5
-#: Cores in one trie.
+#: Cores in one trie, and queries that one task puts to it.
 BLOCK = 20_000
+#: Words up to which a name is queried in all their orders; beyond, edits touch at most TOUCHED words.
+ORDERS, TOUCHED = 4, 3
+#: Entries of one class in a block of the join that gives its pairs.
+PAIR_BLOCK = 4096
+#: Up to so many names of a shard are compared by their letters before the trie is walked.
+FEW = 64
 #: A place named by one entry in so many counts as a place wherever it stands.
 PLACE_SHARE = 1000
 
@@ -87,7 +97,7 @@ def core(raw: str | None, places: set[str]) -> tuple[str, list[str]]:
     cut_off = [w for w, dot in words if len(w) <= 3 or (dot and len(w) <= 4 and len(words) > 1)]
     whole = [w for w, _ in words if w not in cut_off]
     if len(whole) >= 2:
-        return "full", whole[:4]
+        return "full", whole
     if not whole:
         return "full", ["".join(w for w, _ in words)]
     if not cut_off and len(whole[0]) >= 10:
@@ -109,23 +119,38 @@ def slips(a: str, b: str) -> float:
     return row[-1]
 
 
+def letter_set(s: str) -> int:
+    out = 0
+    for c in s:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class NameTrie:
     """Names of one length as nested dicts; '' marks the end of a name."""
 
     def __init__(self) -> None:
         self.root: dict = {}
         self.size = 0
+        self.letters: list[int] = []
 
-    def add(self, name: str) -> None:
-        node, self.size = self.root, len(name)
-        for c in name:
+    def add(self, form: str) -> None:
+        node, self.size = self.root, len(form)
+        for c in form:
             node = node.setdefault(c, {})
-        node[""] = name
+        node[""] = form
+        if len(self.letters) <= FEW:
+            self.letters.append(letter_set(form))
+
+    def hopeless(self, name: str, k: int) -> bool:
+        """Whether no name can be within k edits, for an edit changes at most two letters of the set of letters."""
+        own = letter_set(name)
+        return len(self.letters) <= FEW and all((own ^ x).bit_count() > 2 * k for x in self.letters)
 
     def within(self, name: str, k: int) -> Iterator[tuple[str, int]]:
         """Names within k edits, a swap of neighbours counting as one. A row holds only the cells from which the lengths can still be evened out."""
         n, more = len(name), len(name) - self.size
-        if abs(more) > k:
+        if abs(more) > k or self.hopeless(name, k):
             return
         slack = (k - abs(more)) // 2
         low, high = min(0, more) - slack, max(0, more) + slack
@@ -195,15 +220,34 @@ def _probes(form: str, longest: int) -> set[str]:
     return out
 
 
+def _orders(words: list[str]) -> list[str]:
+    """A name of two to ORDERS words in all orders but its own."""
+    own = "".join(words)
+    return list(dict.fromkeys(form for p in permutations(words) if (form := "".join(p)) != own)) if 2 <= len(words) <= ORDERS else []
+
+
+def _long_rows(words: list[str], name: str) -> Iterator[tuple[str, bool, str, str]]:
+    """The rows of a name of more than ORDERS words: for each choice of TOUCHED words, these in all orders after the sorted others."""
+    n = len(name)
+    for chosen in combinations(range(len(words)), TOUCHED):
+        rest = "".join(sorted(w for i, w in enumerate(words) if i not in chosen))
+        forms = list(dict.fromkeys(rest + "".join(p) for p in permutations(sorted(words[i] for i in chosen))))
+        yield f"{n} w {rest}", True, forms[0], name
+        yield from ((f"{size} w {rest}", False, form, name) for form in forms for size in range(max(1, n - _allowed(n)), n + K + 2))
+
+
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each core its index rows and its query rows, by shard. In its own order of words it asks for cores that aren't longer; those ask for it."""
     for b in batches:
         rows = []
-        for name, swapped in zip(b["full"], b["swapped"]):
+        for name, words in zip(b["full"], b["words"]):
+            words = [] if words is None else list(words)
             rows += [(f"{len(name)} {i} {name[start:end]}", True, name, name) for i, (start, end) in enumerate(_segments(len(name)))]
             rows += [(shard, False, name, name) for shard in _probes(name, len(name))]
-            if swapped and swapped != name:
-                rows += [(shard, False, swapped, name) for shard in _probes(swapped, len(swapped) + K + 1)]
+            for form in _orders(words):
+                rows += [(shard, False, form, name) for shard in _probes(form, len(form) + K + 1)]
+            if len(words) > ORDERS:
+                rows += _long_rows(words, name)
         yield pd.DataFrame(rows, columns=["shard", "is_index", "form", "name"])
 
 
@@ -221,29 +265,36 @@ def _word_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shard by shard, index rows first: builds the trie, then walks it with each query."""
-    at, trie = None, NameTrie()
+    at, trie, names = None, NameTrie(), {}
     for b in batches:
         out = set()
-        for shard, block, is_query, form, name in zip(b["shard"], b["block"], b["is_query"], b["form"], b["name"]):
-            if (shard, block) != at:
-                at, trie = (shard, block), NameTrie()
+        for shard, block, part, is_query, form, name in zip(b["shard"], b["block"], b["part"], b["is_query"], b["form"], b["name"]):
+            if (shard, block, part) != at:
+                at, trie, names = (shard, block, part), NameTrie(), {}
             if not is_query:
-                trie.add(name)
+                if form not in names:
+                    trie.add(form)
+                names.setdefault(form, []).append(name)
             elif trie.root:
-                for other, d in trie.within(form, min(_allowed(len(form)), _allowed(trie.size))):
-                    if other != name and (d <= K or slips(form, other) <= SLIPS):
-                        out.add((min(name, other), max(name, other)))
+                for met, d in trie.within(form, min(_allowed(len(form)), _allowed(trie.size))):
+                    if d <= K or slips(form, met) <= SLIPS:
+                        out.update((min(name, other), max(name, other)) for other in names[met] if other != name)
         yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
 def trie_join(cores: DataFrame, block: int = BLOCK, shards: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = _shards) -> DataFrame:
-    """a, b: the distinct pairs of ``full`` strings within the edits allowed, either order of words. Wants distinct full, swapped, or what ``shards`` reads."""
+    """a, b: the distinct pairs of ``full`` strings within the edits allowed, in any order of ``words``. Wants distinct full with words, or what ``shards`` reads."""
     rows = cut(cores.mapInPandas(shards, "shard string, is_index boolean, form string, name string"))
-    heavy = rows.where("is_index").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > block).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(checked_broadcast(heavy), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("is_index"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    sorted_rows = rows.select("shard", "block", (~F.col("is_index")).alias("is_query"), "form", "name").repartition("shard", "block").sortWithinPartitions("shard", "block", "is_query")
+    sizes = rows.groupBy("shard").agg(F.count_if("is_index").alias("cores"), F.count_if(~F.col("is_index")).alias("queries"))
+    parts_of = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    heavy = sizes.where((F.col("cores") > block) | (F.col("queries") > block)).select("shard", parts_of("cores").alias("blocks"), parts_of("queries").alias("parts"))
+    rows = rows.join(checked_broadcast(heavy), "shard", "left").fillna(1, ["blocks", "parts"])
+    own = lambda n: F.array(F.pmod(F.xxhash64("form", "name"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("is_index"), own("blocks")).otherwise(every("blocks"))))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("is_index"), every("parts")).otherwise(own("parts"))))
+    place = ["shard", "block", "part"]
+    sorted_rows = rows.select(*place, (~F.col("is_index")).alias("is_query"), "form", "name").repartition(*place).sortWithinPartitions(*place, "is_query")
     return sorted_rows.mapInPandas(_walk, "a string, b string").distinct()
 
 
@@ -279,7 +330,7 @@ def _attach_short(short: DataFrame, of_full: DataFrame) -> DataFrame:
     found = asked.join(met, "kept").join(held, "word").withColumn("fits", fits).where((F.col("far") == 0) | (F.col("fits") > 0) | (F.size("cuts") == 0))
     best = found.groupBy("kept", "cuts").agg(F.min(F.struct((-F.col("fits")).alias("f"), "far", (-F.col("n")).alias("m"), "label")).alias("b")).select("kept", "cuts", "b.label")
     labelled = cut(asked.join(best, ["kept", "cuts"], "left"))
-    alone = labelled.where(F.col("label").isNull()).select(F.col("kept").alias("full"), F.lit(None).cast("string").alias("swapped")).distinct()
+    alone = labelled.where(F.col("label").isNull()).select(F.col("kept").alias("full"), F.lit(None).cast("array<string>").alias("words")).distinct()
     own = components(alone.select(F.col("full").alias("node")), trie_join(alone)).select(F.col("node").alias("kept"), F.col("label").alias("own"))
     labelled = labelled.join(own, "kept", "left").select("kept", "cuts", F.coalesce("label", "own").alias("label"))
     return short.join(labelled, ["kept", "cuts"]).select("value", "label")
@@ -305,14 +356,14 @@ def spelling_classes(rows: DataFrame, column: str = "manufacturer") -> DataFrame
             for value, n in zip(b["value"], b["n"]):
                 kind, words = core(value, places)
                 if kind == "full":
-                    out.append((value, n, "".join(words), "".join(words[1:] + words[:1]) if len(words) > 1 else None, words[:2]))
+                    out.append((value, n, "".join(words), words))
                 elif kind == "short":
-                    out.append((value, n, None, None, words))
-            yield pd.DataFrame(out, columns=["value", "n", "full", "swapped", "words"])
+                    out.append((value, n, None, words))
+            yield pd.DataFrame(out, columns=["value", "n", "full", "words"])
 
-    parsed = cut(values.mapInPandas(parse, "value string, n long, full string, swapped string, words array<string>"))
+    parsed = cut(values.mapInPandas(parse, "value string, n long, full string, words array<string>"))
     full = parsed.where(F.col("full").isNotNull())
-    cores = full.select("full", "swapped").distinct()
+    cores = full.groupBy("full").agg(F.max("words").alias("words"))
     edges = trie_join(cores)
     label = cut(components(full.select(F.col("full").alias("node")).distinct(), edges))
     of_full = full.join(label, full["full"] == label["node"]).select("value", "n", "words", "label")
@@ -324,13 +375,21 @@ def linked_entries(rows: DataFrame, identifier: str = "edit_id", column: str = "
     """id, label, links: each entry that names someone, its class and how many other entries the class has."""
     classes = cut(spelling_classes(rows, column))
     entries = rows.where(F.col(identifier).isNotNull()).select(F.col(identifier).alias("id"), F.col(column).alias("value")).distinct()
-    labelled = entries.join(checked_broadcast(classes), "value").select("id", "label").distinct()
+    labelled = cut(entries.join(checked_broadcast(classes), "value").select("id", "label").distinct())
     sizes = labelled.groupBy("label").agg((F.count("*") - 1).alias("links"))
-    return labelled.join(sizes, "label").select("id", "label", "links")
+    return labelled.join(checked_broadcast(sizes), "label").select("id", "label", "links")
 
 
-def entry_pairs(rows: DataFrame, identifier: str = "edit_id", column: str = "manufacturer") -> DataFrame:
-    """a, b: every pair of entries of one class, a < b."""
-    links = cut(linked_entries(rows, identifier, column).where(F.col("links") > 0).select("id", "label"))
-    other = links.select(F.col("id").alias("b"), "label")
-    return links.withColumnRenamed("id", "a").join(other, "label").where(F.col("a") < F.col("b")).select("a", "b")
+def entry_pairs(rows: DataFrame, identifier: str = "edit_id", column: str = "manufacturer", block: int = PAIR_BLOCK) -> DataFrame:
+    """a, b: every pair of entries of one class, a < b.
+
+    Entries of a class are dealt to blocks by hash, and each pair of blocks is a group of the join, so no task has to
+    hold more than two blocks of a class however large it is.
+    """
+    links = cut(linked_entries(rows, identifier, column).where(F.col("links") > 0))
+    blocks = F.ceil((F.col("links") + 1) / block).cast("int")
+    dealt = links.select("id", "label", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    left = dealt.select(F.col("id").alias("x"), "label", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("n") - 1)).alias("j"))
+    right = dealt.select(F.col("id").alias("y"), "label", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    met = left.join(right, ["label", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -231,7 +231,7 @@ def test_trie_join_is_complete(spark, block):
                 i = rng.randrange(len(s))
                 s[i : i + 1] = rng.choice(["", "з", s[i] * 2])
             names.add("".join(s))
-    df = spark.createDataFrame([(n, None) for n in sorted(names)], "full string, swapped string")
+    df = spark.createDataFrame([(n, None) for n in sorted(names)], "full string, words array<string>")
     got = {tuple(r) for r in name_link.trie_join(df, block).collect()}
 
     def plain(a, b):
@@ -267,7 +267,8 @@ def test_trie_join_finds_all_that_is_allowed(spark):
             names.add("".join(t))
     names.discard("")
     rows = [(n, n[len(n) // 2 :] + n[: len(n) // 2] if i % 3 == 0 else None) for i, n in enumerate(sorted(names))]
-    got = {tuple(r) for r in name_link.trie_join(spark.createDataFrame(rows, "full string, swapped string"), 20_000).collect()}
+    data = [(n, [n[: len(n) // 2], n[len(n) // 2 :]] if m else None) for n, m in rows]
+    got = {tuple(r) for r in name_link.trie_join(spark.createDataFrame(data, "full string, words array<string>"), 20_000).collect()}
 
     def edits(a, b):
         d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
@@ -288,6 +289,27 @@ def test_trie_join_finds_all_that_is_allowed(spark):
     assert got == want
 
 
+def test_all_orders_of_words(spark):
+    """Three, four and six words in any order, with slips; also words after the fourth tell makers apart, and hot classes are joined in blocks."""
+    words = ["тидипо", "лерустрой", "вамотех", "борейка", "кувозе", "сапром"]
+    rng = random.Random(5)
+    entries = []
+    for g, n in enumerate((3, 4, 6)):
+        entries.append((" ".join(words[:n]), g))
+        for _ in range(6):
+            some = rng.sample(words[:n], n)
+            i = rng.randrange(n)
+            some[i] = some[i][:2] + some[i][3:] if rng.random() < 0.5 else some[i][1] + some[i][0] + some[i][2:]
+            entries.append((" ".join(some), g))
+    entries += [(" ".join([*words[:4], "жухлица", "зяблик"]), 3), ("Бохрев Куперт Дюнкер", 4), ("Дюнкер Бохрев Куперт", 4)]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(entries)], "edit_id long, manufacturer string")
+    want = {(i, j) for i, j in combinations(range(len(entries)), 2) if entries[i][1] == entries[j][1]}
+    for block in (4096, 2):
+        got = [tuple(r) for r in name_link.entry_pairs(df, block=block).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
 def test_short_names(spark):
     """Misread kept words, also of one-word makers, and a cut word that tells two makers with the same word apart."""
     groups = [["Тидипо-Лерустрой", "Тидипо Лерустрой", "ООО Тидипо Лерустрой", "Тидипо"], ["Тидипо-Вамотех", "Тидипо В.", "Тидпио-Вам."], ["Борейка", "Борекка", "ООО Борейка"], ["Кувозе-Сапром", "Куовзе"]]
