@@ -4,7 +4,9 @@ Distinct spellings are found first (a count per spelling, combined on the map si
 once however many rows hold it. Each spelling is brought to a plain form and looked up in a dictionary of
 symmetric deletes: every form of an entry, and every query, is stored with up to k characters left out;
 two strings within k edits share such a variant. Candidates are then ranked by a weighted
-Damerau-Levenshtein distance and by how often the entry itself is used.
+Damerau-Levenshtein distance and by how often the entry itself is used. Forms of up to three letters only match
+as they are, or read in other letters of the same look; what else a scan makes of them, the table of compact
+spellings of the core says.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specloom.functions.text import UNIT_KEYS
 from specloom.llm.vocabulary import Lexicon
-from specloom.session import checked_broadcast
+from specloom.session import checked_broadcast, cut
 
 NONE = "none"
 
 #: Fixed values. Written forms of units of measure besides the entry and its full name; the key is the
 #: full name in the nominative. Endings stand in the list as the language has them.
 FORMS = {
-    "штука": "шт штуки штук штуке штукой штк шг щт wт wm pcs pc ea each piece pieces",
+    "штука": "шт штуки штук штуке штукой штк pcs pc ea each piece pieces",
     "метр": "м метра метров метры мтр m meter meters metre",
     "комплект": "компл комп кт к-т кт. ком-т к-кт к/т комплекта комплектов комплекты комплд set sets kit",
     "квадратный метр": "м2 м² м^2 кв.м м.кв квм мкв квметр метркв квадратныхметров квадратногометра m2 sqm",
@@ -53,6 +56,8 @@ OTHERS = (
 #: Fixed values. Latin letters that stand for the Cyrillic ones they look like.
 _LATIN = str.maketrans("aekmhopctyxb", "аекмнорстухв")
 _CYRILLIC = str.maketrans("аекмнорстухвг", "aekmhopctyxbr")
+#: Fixed values. Latin letters for the Russian ones that look like them in italics, and Russian ones that differ by a stroke.
+_ITALIC = str.maketrans("aekmhopctyxbwunrgщй", "аектнорстухвшипгдши")
 #: Fixed values. Rows of the Russian keyboard; neighbours are easily hit for one another.
 _KEYS = ("йцукенгшщзхъ", "фывапролджэ", "ячсмитьбю")
 
@@ -84,8 +89,8 @@ def compact(folded: str) -> str:
 
 
 def scripts(s: str) -> tuple[str, ...]:
-    """s, and s in one alphabet if it mixes letters of two or its letters look alike in both."""
-    return tuple(dict.fromkeys((s, s.translate(_LATIN), s.translate(_CYRILLIC))))
+    """s, s in one alphabet if it mixes letters of two or its letters look alike in both, and s read in italics."""
+    return tuple(dict.fromkeys((s, s.translate(_LATIN), s.translate(_CYRILLIC), s.translate(_ITALIC))))
 
 
 @lru_cache(maxsize=100_000)
@@ -137,22 +142,37 @@ def reference_forms(lexicon: Lexicon, kind: str = "unit", forms: dict[str, str]
     """(form, entry or ``none``, order): all forms a value may be near to. A form of two entries goes to the first."""
     out: dict[str, tuple[str, int]] = {}
     entries = lexicon.entries.get(kind, [])
+    spelt = {compact(fold(key)): (key, i) for i, (key, _) in reversed(list(enumerate(entries)))}
     for i, (key, name) in enumerate(entries):
         for form in (key, name, *forms.get(fold(name), "").split()):
             out.setdefault(compact(fold(form)), (key, i))
     for form in others.split():
         out.setdefault(compact(fold(form)), (NONE, len(entries)))
+    for form, unit in UNIT_KEYS.items() if kind == "unit" else ():
+        if (entry := spelt.get(compact(fold(unit)))) is not None:
+            out.setdefault(compact(fold(form)), entry)
     return [(f, key, i) for f, (key, i) in out.items() if f]
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each spelling and each of its plain forms: the deletes."""
+def _dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each form of the list: its deletes."""
     for b in batches:
-        rows = []
-        for value in b["value"]:
-            for script, form in enumerate(scripts(compact(fold(value)))):
-                rows.extend((value, form, script, d) for d in deletes(form, allowed(len(form))))
-        yield pd.DataFrame(rows, columns=["value", "form", "script", "variant"])
+        rows = [(f, e, p, d) for f, e, p in zip(b["reference"], b["entry"], b["place"]) for d in deletes(f, allowed(len(f)))]
+        yield pd.DataFrame(rows, columns=["reference", "entry", "place", "variant"])
+
+
+def _variants_up_to(longest: int):  # noqa: ANN202
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each spelling and each of its plain forms: the deletes. A plain form longer than any within the edits of the list has none."""
+        for b in batches:
+            rows = []
+            for value in b["value"]:
+                plain = compact(fold(value))
+                for script, form in enumerate(scripts(plain)) if len(plain) <= longest else ():
+                    rows.extend((value, form, script, d) for d in deletes(form, allowed(len(form))))
+            yield pd.DataFrame(rows, columns=["value", "form", "script", "variant"])
+
+    return variants
 
 
 def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,19 +187,23 @@ def map_values(values: DataFrame, column: str, lexicon: DataFrame, kind: str = "
 
     Null values are left out (nothing was entered); ``''`` and values of signs only map to ``none`` with a
     null cost. The nearest form wins; at equal cost the entry used more often as it stands, then the order
-    of the list. Very long values match nothing, for lengths must agree within the edits allowed. The
-    dictionary is broadcast only if it has at most ``limit`` rows, else joined by shuffle. An empty list
-    maps everything to ``none``.
+    of the list. Values whose plain form is longer than the longest form of the list and two edits match
+    nothing. The dictionary is broadcast only if it has at most ``limit`` rows, else joined by shuffle. An
+    empty list maps everything to ``none``.
     """
+    return _mapped(values, column, Lexicon.read(lexicon), kind, forms, others, limit)
+
+
+def _mapped(values: DataFrame, column: str, lex: Lexicon, kind: str, forms: dict[str, str], others: str, limit: int) -> DataFrame:
     spark = values.sparkSession
-    lex = Lexicon.read(lexicon)
     distinct = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
-    reference = [(f, e, o, d) for f, e, o in reference_forms(lex, kind, forms, others) for d in deletes(f, allowed(len(f)))]
-    dictionary = spark.createDataFrame(reference, "reference string, entry string, place int, variant string")
+    reference = reference_forms(lex, kind, forms, others)
+    dictionary = spark.createDataFrame(reference, "reference string, entry string, place int").mapInPandas(_dictionary, "reference string, entry string, place int, variant string")
+    distinct = cut(distinct)
     used = distinct.where(F.col("value").isin(lex.keys(kind) or [NONE])).select(F.col("value").alias("entry"), F.col("rows").alias("used"))
-    dictionary = dictionary.join(checked_broadcast(used, limit), "entry", "left").fillna(0, ["used"])
-    longest = max((len(f) for f, *_ in reference), default=0) + 8
-    variants = distinct.where(F.length("value") <= 4 * longest).mapInPandas(_variants, "value string, form string, script int, variant string")
+    dictionary = cut(dictionary.join(checked_broadcast(used, limit), "entry", "left").fillna(0, ["used"]))
+    longest = max((len(f) for f, *_ in reference), default=0) + allowed(1 << 10)
+    variants = distinct.select("value").mapInPandas(_variants_up_to(longest), "value string, form string, script int, variant string")
     found = variants.join(checked_broadcast(dictionary, limit), "variant").select("value", "form", "script", "reference", "entry", "used", "place").distinct()
     ranked = found.mapInPandas(_ranked, "value string, entry string, cost double, used long, place int")
     best = ranked.groupBy("value").agg(F.min(F.struct("cost", (-F.col("used")).alias("u"), "place", "entry")).alias("b")).select("value", F.col("b.entry").alias("entry"), F.col("b.cost").alias("cost"))
@@ -197,7 +221,7 @@ def mapped_rows(rows: DataFrame, lexicon: DataFrame, column: str = "unit", kind:
     One value may stand in a third of all rows: the mapping of distinct values is joined back broadcast
     when small, else by a join whose hot keys adaptive execution splits.
     """
-    keys = Lexicon.read(lexicon).keys(kind)
-    free = rows.where(is_free_entry(F.col(column), keys)).select("raw_id", F.col(column).alias("value"))
-    mapping = map_values(rows.select(column), column, lexicon, kind).select("value", "entry")
+    lex = Lexicon.read(lexicon)
+    free = rows.where(is_free_entry(F.col(column), lex.keys(kind))).select("raw_id", F.col(column).alias("value"))
+    mapping = cut(_mapped(rows.select(column), column, lex, kind, FORMS, OTHERS, 50_000).select("value", "entry"))
     return free.join(checked_broadcast(mapping), "value").select("raw_id", "value", "entry")
