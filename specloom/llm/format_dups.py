@@ -38,14 +38,15 @@ def canonical_keys(rows: DataFrame, name: Column, mark: Column) -> DataFrame:
     """rows with ``k``: one string for all formattings of (name, mark).
 
     The two fields may stand exchanged, so the one with the larger share of digits counts as the mark; at a
-    tie the shorter, then the one whose characters come first in order. None of this depends on formatting.
+    tie the shorter, then the one whose characters come first in order. If only one holds anything, it is the
+    name. None of this depends on formatting.
     Each bare field is a column of its own, so that it is computed once.
     """
     share = lambda b: F.coalesce(F.length(F.regexp_replace(b, r"\D+", "")) / F.nullif(F.length(b), F.lit(0)), F.lit(0.0))
     letters = lambda b: F.array_join(F.array_sort(F.split(b, "")), "")
     r = rows.withColumns({"_name": name, "_mark": mark}).withColumns({"_bn": bare(F.col("_name")), "_bm": bare(F.col("_mark"))}).withColumns({"_sn": share(F.col("_bn")), "_sm": share(F.col("_bm"))})
     shorter = F.when(F.length("_bn") == F.length("_bm"), letters(F.col("_bn")) < letters(F.col("_bm"))).otherwise(F.length("_bn") < F.length("_bm"))
-    r = r.withColumn("_x", F.when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
+    r = r.withColumn("_x", F.when(F.col("_bm") == "", False).when(F.col("_bn") == "", True).when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
     r = r.withColumns({"_text": F.when(F.col("_x"), F.col("_mark")).otherwise(F.col("_name")), "_code": F.when(F.col("_x"), F.col("_bn")).otherwise(F.col("_bm"))})
     return r.withColumn("k", F.concat_ws("#", sorted_parts(F.col("_text")), "_code"))
 
@@ -90,9 +91,10 @@ def copies(rows: DataFrame, identifier: str = "row_order", name: str = "name", m
     """first_id, id: one row for each copy, with the smallest identifier of its group. Cases as in copy_groups.
 
     The representatives of hot keys are broadcast, fewer than ``hot_share`` of them; those of the rest are
-    found by a window, which spills, over the one shuffle by key.
+    found by a window, which spills, over the one shuffle by key. A row delivered twice under one identifier
+    gives one pair.
     """
     hot_rows, rest = _split_hot(keyed(rows, identifier, name, mark), hot_share)
     of_hot = hot_rows.join(F.broadcast(_two_level(hot_rows, salts)), "key").select("first_id", "id").distinct()
-    of_rest = rest.select(F.min("id").over(Window.partitionBy("key")).alias("first_id"), "id")
+    of_rest = rest.repartition("key").groupBy("key", "id").agg(F.lit(1)).select(F.min("id").over(Window.partitionBy("key")).alias("first_id"), "id")
     return of_hot.unionByName(of_rest).where(F.col("id") > F.col("first_id"))

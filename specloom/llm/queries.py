@@ -115,7 +115,7 @@ o AS (
     coalesce(length(regexp_replace(tb, '[^0-9]', '', 'g')) / nullif(length(tb), 0)::DOUBLE, 0) AS ts FROM b),
 x AS (
   SELECT row_order, CASE WHEN sw THEN tc ELSE nc END AS lc, CASE WHEN sw THEN nb ELSE tb END AS code
-  FROM (SELECT *, ns > ts OR (ns = ts AND (length(nb) < length(tb) OR (length(nb) = length(tb) AND list_sort(string_split(nb, '')) < list_sort(string_split(tb, ''))))) AS sw FROM o)),
+  FROM (SELECT *, tb <> '' AND (nb = '' OR ns > ts OR (ns = ts AND (length(nb) < length(tb) OR (length(nb) = length(tb) AND list_sort(string_split(nb, '')) < list_sort(string_split(tb, '')))))) AS sw FROM o)),
 p AS (
   SELECT row_order, code, string_split(array_to_string(list_transform(lc, lambda c, i: CASE WHEN c IN (',', ';', '/', '|') AND NOT (i > 1 AND regexp_full_match(lc[i - 1], '[0-9]') AND regexp_full_match(coalesce(lc[i + 1], ''), '[0-9]')) THEN chr(1) ELSE c END), ''), chr(1)) AS parts FROM x),
 q AS (SELECT row_order, code, list_transform(parts, lambda s: string_split(s, '')) AS parts FROM p),
