@@ -15,14 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.llm.tokenize import VOCABULARY, encoder
 from specloom.session import collect_bounded, cut
 
 #: Sources of a mix; each is one row of the target table.
-SOURCES = 10_000
+SOURCES = 1_000
 ROUNDS = 60
 #: Steps of the rounding threshold.
 STEPS = 4096
@@ -134,19 +134,18 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
 
 
 def _thresholds(rated: DataFrame, goal: dict[str, float]) -> dict[str, float]:
-    """For each source the threshold of rounding up at which its tokens are nearest to the goal: from one table of at most 2 * STEPS rows a source."""
+    """For each source the threshold of rounding up at which its tokens are nearest to the goal.
+
+    Tokens are summed by steps of the chance, at most 2 * STEPS for a source, and a window over these sums finds the
+    step; a row per source comes to the driver.
+    """
     step = F.floor(F.col("chance") * STEPS).cast("int")
-    rows = rated.groupBy("source", step.alias("step")).agg(F.sum(F.when(F.col("floor") < F.col("cap"), F.col("n_tokens")).otherwise(0)).alias("more"), F.sum(F.col("floor") * F.col("n_tokens")).alias("sure")).collect()
-    shift = {}
-    for s, g in goal.items():
-        own = sorted((r["step"], r["more"], r["sure"]) for r in rows if r["source"] == s)
-        reached = sum(x[2] for x in own)
-        best, shift[s] = abs(reached - g), -1.0
-        for at, more, _ in own:
-            reached += more
-            if abs(reached - g) < best:
-                best, shift[s] = abs(reached - g), (at + 1) / STEPS
-    return shift
+    rows = rated.groupBy("source", step.alias("step")).agg(F.sum(F.when(F.col("floor") < F.col("cap"), F.col("n_tokens")).otherwise(0)).alias("more"), F.sum(F.col("floor") * F.col("n_tokens")).alias("sure"))
+    of = Window.partitionBy("source")
+    sure, want = F.sum("sure").over(of), by_source(goal)
+    rows = rows.withColumn("gap", F.abs(sure + F.sum("more").over(of.orderBy("step")) - want)).withColumn("without", F.abs(sure - want))
+    best = rows.groupBy("source").agg(F.min(F.struct("gap", "step")).alias("best"), F.first("without").alias("without")).collect()  # a row per source
+    return dict.fromkeys(goal, -1.0) | {r["source"]: (r["best"]["step"] + 1) / STEPS if r["best"]["gap"] < r["without"] else -1.0 for r in best if r["source"] in goal}
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
