@@ -22,8 +22,8 @@ _SHORT = r"^[а-яё]{1,3}$"
 _NUMBER = r"^[+-]?\d+(?:[.,]\d+)?$"
 
 
-def survivors(df: DataFrame, keys: Sequence[str], fields: dict[str, tuple[Sequence[Column], Column]]) -> DataFrame:
-    """One row per distinct ``keys``. fields: name of the result -> (what decides, from left to right; the value).
+def survivors(df: DataFrame, keys: Sequence[str], fields: dict[str, tuple[Sequence[Column], Column]], *further: Column) -> DataFrame:
+    """One row per distinct ``keys``. fields: name of the result -> (what decides, from left to right; the value). further: other aggregates.
 
     Nulls in a deciding expression lose against any value. Rows with a null key form a group of their own.
     An empty input gives an empty result. Columns not named are not looked at, whatever their names.
@@ -32,7 +32,19 @@ def survivors(df: DataFrame, keys: Sequence[str], fields: dict[str, tuple[Sequen
     for name, (order, value) in fields.items():
         rank = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)])
         aggs.append(F.max(F.struct(rank.alias("rank"), value.alias("value")))["value"].alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs, *further)
+
+
+#: Sources by what their names begin with, from the least trusted: a page read whole, a column, a single cell.
+PRIORITY = ("page-", "accurate-column", "cell-")
+
+
+def source_priority(source: Column) -> Column:
+    """How far a source is trusted: 0 for none or an unknown one."""
+    out = F.lit(0)
+    for i, start in enumerate(PRIORITY, 1):
+        out = F.when(source.startswith(start), i).otherwise(out)
+    return F.coalesce(out, F.lit(0))
 
 
 def _words(text: Column) -> Column:
@@ -91,16 +103,15 @@ def best_readings(cells: DataFrame, lexicon: DataFrame) -> DataFrame:
     they belong to no cell. Readings delivered twice are ties that the smaller result_id wins.
     """
     rows = cells.where(F.col("cell_id").isNotNull()).select("cell_id", "result_id", "column_key", "text", "confidence", "source", "read_at")
-    order = reading_order(Lexicon.read(lexicon))
-    best = F.max(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)], F.col("result_id")))
-    return rows.groupBy("cell_id").agg(best["result_id"].alias("result_id"), F.count("*").alias("readings"))
+    return survivors(rows, ["cell_id"], {"result_id": (reading_order(Lexicon.read(lexicon)), F.col("result_id"))}, F.count("*").alias("readings"))
 
 
 def golden_cells(cells: DataFrame, lexicon: DataFrame) -> DataFrame:
     """cell_id, text, confidence, source, read_at: a record built field by field.
 
-    text is the surviving reading's; confidence the highest given for a readable text; source the one of
-    that confidence; read_at the latest of any reading. Nulls as in best_readings.
+    text is the surviving reading's; confidence the highest given for a readable text; source the most
+    trusted one that gave a readable text, then the one of the highest confidence; read_at the latest of any
+    reading. Nulls as in best_readings.
     """
     rows = cells.where(F.col("cell_id").isNotNull())
     order = reading_order(Lexicon.read(lexicon))
@@ -111,7 +122,7 @@ def golden_cells(cells: DataFrame, lexicon: DataFrame) -> DataFrame:
         {
             "text": (order, F.col("text")),
             "confidence": (sure, F.col("confidence")),
-            "source": (sure, F.col("source")),
+            "source": ([*sure[:3], source_priority(F.col("source")), *order[4:]], F.col("source")),
             "read_at": ([F.col("read_at")], F.col("read_at")),
         },
     )
