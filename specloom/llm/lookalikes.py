@@ -1,11 +1,11 @@
 """Problem 4: text that looks the same brought to the same characters.
 
 Look-alike classes are the components of a union-find over code points and strings: a full-width letter
-and its ordinary form, a letter and its combining accent and the composed letter, the letters of two
-alphabets that look the same, all blanks, all invisible marks and the empty string. The members of each
-class that the corpus holds are counted in one distributed pass; the count decides the representative
-where the word itself leaves the alphabet open. Rewriting is greedy, longest pattern first, by an
-Aho-Corasick automaton over all members.
+and its ordinary form, a letter with its combining accent and the composed letter, the letters of several
+alphabets that look the same, all blanks, all invisible marks and the empty string. The characters that the
+corpus holds are counted in one distributed pass; the most frequent member of a class in an alphabet stands
+for it there, and the alphabet of a word that leaves it open is the one in which such words are written more
+often. Rewriting is greedy, longest pattern first, by an Aho-Corasick automaton over all members.
 """
 
 from __future__ import annotations
@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from specloom.llm.vocabulary import Lexicon
 
-#: Fixed values. Letters of two alphabets that look alike: Latin with Cyrillic, Latin with Greek.
-LATIN_CYRILLIC = "AА BВ EЕ KК MМ HН OО PР CС TТ XХ YУ aа eе oо pр cс xх yу ЁË ёë"
-LATIN_GREEK = "AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ oο vν iι"
-#: Fixed values. Cyrillic letters outside the Russian alphabet and what they look like.
-LATIN_OTHER = "IІ iі SЅ sѕ JЈ jј"
+#: Fixed values. For each Latin letter the letters of other alphabets that look like it: Cyrillic with its extensions,
+#: Greek, Armenian, Cherokee, Lisu, and Latin letters of phonetic writing.
+ALIKE = {
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "ᎠꓓƊ", "E": "ЕΕᎬꓰ", "F": "ϜꓝҒ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧ", "I": "ІΙӀ", "J": "ЈᎫꓙ", "K": "КΚᏦꓗ",
+    "L": "ᏞꓡԼ", "M": "МΜᎷꓟ", "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡᏢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ", "U": "Սꓴ", "V": "ᏙꓦѴ", "W": "ԜᎳꓪ",
+    "X": "ХΧꓫ", "Y": "УΥҮᎩꓬ", "Z": "ΖᏃꓜ", "Ë": "Ё",
+    "a": "аɑ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іı", "j": "јϳ", "l": "ӏ", "n": "ոռ", "o": "оοօᴏ", "p": "рƿ", "q": "ԛգ", "s": "ѕꜱ",
+    "u": "սᴜ", "v": "νѵᴠ", "w": "ԝᴡ", "x": "хᕽ", "y": "уүỿ", "z": "ᴢ", "ë": "ё",
+}
 INVISIBLE = "­​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿᠎͏؜"
 HYPHENS = "‐‑﹣－"
 ORDINARY = "×Ø«»№²³°±…–—"
@@ -80,22 +84,27 @@ def plain(s: str) -> str:
     if unicodedata.category(s[0]) == "Zs":
         return " "
     composed = unicodedata.normalize("NFC", s)
-    if len(composed) == 1 and (0xFF01 <= ord(composed) <= 0xFF5E or 0x2160 <= ord(composed) <= 0x217F or 0x1D400 <= ord(composed) <= 0x1D7FF):
-        return unicodedata.normalize("NFKC", composed)
+    if len(composed) == 1 and (kind := unicodedata.decomposition(composed).split(" ")[0]):
+        ordinary = unicodedata.normalize("NFKC", composed)
+        if kind in FORMS or kind == "<compat>" and ordinary.isascii() and ordinary.isalpha():
+            return ordinary
     return composed
 
 
-def sequences(text: str) -> Iterable[str]:
-    """A text as code points, each with the combining marks that follow it."""
-    return re.findall(r"[^̀-ͯ][̀-ͯ]+|.", text, re.DOTALL)
+#: Kinds of decomposition, as the character database names them, by which a character is another form of ordinary ones; so are Roman
+#: numerals and ligatures, of kind <compat>, if they stand for Latin letters.
+FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
 
 def classes_of(observed: Iterable[str]) -> UnionFind:
     """Look-alike classes over everything observed and the fixed pairs; the relation is transitive."""
     uf = UnionFind()
-    for pair in f"{LATIN_CYRILLIC} {LATIN_GREEK} {LATIN_OTHER}".split():
-        uf.union(pair[0], pair[1])
+    for latin, others in ALIKE.items():
+        for c in others:
+            uf.union(latin, c)
     for c in {*INVISIBLE, *HYPHENS, *observed}:
+        if (apart := unicodedata.normalize("NFD", c)) != c:
+            uf.union(c, apart)
         target = plain(c)
         if target != c and len(target) <= 1:
             uf.union(c, target)
@@ -105,10 +114,15 @@ def classes_of(observed: Iterable[str]) -> UnionFind:
 
 
 class Unifier:
-    """Rewrites texts. counts: (column, script) counts of look-alike letters in words that leave the alphabet open."""
+    """Rewrites texts.
 
-    def __init__(self, observed: Iterable[str], open_counts: dict[tuple[str, str], int], lexicon: dict[str, list[str]]) -> None:
-        self.uf = classes_of(observed)
+    observed: how often each character outside ASCII occurs. open_counts: (column, script) counts of look-alike letters in
+    words that leave the alphabet open.
+    """
+
+    def __init__(self, observed: Iterable[str] | dict[str, int], open_counts: dict[tuple[str, str], int], lexicon: dict[str, list[str]]) -> None:
+        often = observed if isinstance(observed, dict) else dict.fromkeys(observed, 1)
+        self.uf = classes_of(often)
         members = self.uf.classes()
         self.symbol: dict[str, str] = {}
         self.letters: dict[tuple[str, str], str] = {}
@@ -117,11 +131,12 @@ class Unifier:
             self.automaton.add_word(unicodedata.normalize("NFD", c), (2, c))
         for root, xs in members.items():
             plains = {plain(x) for x in xs} | set(xs)
-            by = {k: c for k in ("russian", "latin") for c in sorted(plains, key=lambda c: (-open_counts.get(("", c), 0), c)) if len(c) == 1 and script(c) == k}
+            of = lambda k: [c for c in plains if len(c) == 1 and script(c) == k and (k != "latin" or c in ALIKE or unicodedata.normalize("NFD", c)[0].isascii())]
+            by = {k: min(cs, key=lambda c: (-often.get(c, 0), c)) for k in ("russian", "latin") if (cs := of(k))}
             for x in xs:
                 to = plain(x)
-                if len(to) == 1 and script(to) == "other" and by:
-                    to = by.get("latin") or by["russian"]
+                if len(to) == 1 and script(to) and by and to not in by.values():
+                    to = by.get(script(to)) or by.get("latin") or by["russian"]
                 if x and to != x:
                     self.automaton.add_word(x, (len(x), to))
             if len(by) == 2:
@@ -129,7 +144,7 @@ class Unifier:
                     self.symbol[c] = root
                     for k, v in by.items():
                         self.letters[c, k] = v
-        for c in observed:  # one sign for several letters, such as a Roman numeral
+        for c in often:  # one sign for several letters, such as a Roman numeral
             if len(plain(c)) > 1 and plain(c) != c and c not in self.automaton:
                 self.automaton.add_word(c, (len(c), plain(c)))
         self.automaton.make_automaton()
@@ -147,7 +162,8 @@ class Unifier:
         return text
 
     def _settled(self, text: str) -> str:
-        """One pass: greedy, longest pattern first, left to right."""
+        """One pass: composed, then greedy, longest pattern first, left to right."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
         out, at = [], 0
         for end, (n, to) in self.automaton.iter_long(text):
             out += (text[at : end - n + 1], to)
@@ -175,32 +191,33 @@ class Unifier:
         return _LETTERS.sub(lambda m: self.word(column, m[0]), self.settle(text))
 
 
-def census(rows: DataFrame, columns: list[str], lexicon: Lexicon) -> tuple[set[str], dict[tuple[str, str], int]]:
-    """The code points and sequences of the columns, and per column how often words that leave the alphabet open are written in each.
+def census(rows: DataFrame, columns: list[str], lexicon: Lexicon) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """How often each character outside ASCII occurs in the columns, and per column how often words that leave the alphabet open are written in each.
 
-    Both results are bounded by the number of characters there are, not by the rows.
+    Single code points are counted, so both results are bounded by the number of characters that Unicode has.
     """
     fixed = Unifier([], {}, {})
     listed = {c: {fixed.skeleton(r) for w in lexicon.keys(k) for r in _LETTERS.findall(w)} for c, k in KINDS.items()}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[tuple[str, str, str]] = Counter()
+        chars: Counter[str] = Counter()
         for b in batches:
             for column in columns:
                 for text in b[column]:
                     if not text:
                         continue
-                    for s in sequences(text) if not text.isascii() else ():
-                        if s not in ORDINARY and s not in RUSSIAN and not s.isascii():
-                            seen["char", "", s] += 1
+                    if not text.isascii():
+                        chars.update(text)
                     for run in _LETTERS.findall(text):
                         if all(c in fixed.symbol for c in run) and fixed.skeleton(run) not in listed.get(column, ()):
                             for c in run:
                                 seen["open", column, script(c)] += 1
+        seen.update({("char", "", c): n for c, n in chars.items() if not c.isascii() and c not in ORDINARY})
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["what", "column", "item", "n"])
 
     total = rows.select(*columns).mapInPandas(count, "what string, column string, item string, n long").groupBy("what", "column", "item").agg(F.sum("n").alias("n")).collect()
-    return {r["item"] for r in total if r["what"] == "char"}, {(r["column"], r["item"]): r["n"] for r in total if r["what"] == "open"}
+    return {r["item"]: r["n"] for r in total if r["what"] == "char"}, {(r["column"], r["item"]): r["n"] for r in total if r["what"] == "open"}
 
 
 #: Which entries of the lexicon are the words of a column as they are meant.

@@ -60,14 +60,31 @@ def test_survivor(spark, lexicon):
 
 
 def test_units(spark, lexicon, no_lexicon):
-    values = ["шт", "ШТ.", "шткуа", "  м.", "метор", "кило", "г", "мм", "", None, "???", "kг", "шт.", "x" * 100_000]
+    values = ["шт", "ШТ.", "шткуа", "  м.", "метор", "кило", "г", "мм", "", None, "???", "kг", "шт.", "x" * 100_000, "шт" + " " * 300, "." * 500 + " метор", "wт", "щт", "шг"]
     df = spark.createDataFrame([(i, v, "e") for i, v in enumerate(values)], "raw_id long, unit string, entry string")
     got = {r["raw_id"]: r["entry"] for r in unit_map.mapped_rows(df, lexicon).collect()}
-    assert got == {0: "шт.", 1: "шт.", 2: "шт.", 3: "м", 4: "м", 5: "кг", 6: "none", 7: "none", 10: "none", 11: "кг", 13: "none"}
+    assert got == {0: "шт.", 1: "шт.", 2: "шт.", 3: "м", 4: "м", 5: "кг", 6: "none", 7: "none", 10: "none", 11: "кг", 13: "none", 14: "шт.", 15: "м", 16: "шт.", 17: "шт.", 18: "шт."}
     assert {r["entry"] for r in unit_map.map_values(df, "unit", no_lexicon).collect()} == {"none"}
     assert unit_map.mapped_rows(df.limit(0), lexicon).count() == 0
 
 
+def test_typos_are_found_by_distance(spark, lexicon):
+    """One typo in a word of eight letters or more, at random: swapped, dropped, doubled or hit beside; no list holds these."""
+    rng = random.Random(22)
+    words = {"килограмм": "кг", "комплект": "компл.", "погонный метр": "п.м.", "квадратный метр": "м²", "кубический метр": "м³", "упаковка": "упак."}
+    entries = [("unit", k, w, i) for i, (w, k) in enumerate(words.items())]
+    lex = spark.createDataFrame(entries, "kind string, lex_key string, lex_value string, ordinal int")
+    typed = []
+    for w, key in words.items():
+        for _ in range(60):
+            i, kind = rng.randrange(1, len(w) - 1), rng.randrange(4)
+            near = unit_map.NEAR.get(w[i], w[i])
+            typed.append((w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :] if kind == 0 else w[:i] + w[i + 1 :] if kind == 1 else w[:i] + w[i] + w[i:] if kind == 2 else w[:i] + rng.choice(near) + w[i + 1 :], key))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(typed)], "raw_id long, unit string")
+    got = {r["raw_id"]: r["entry"] for r in unit_map.mapped_rows(df, lex).collect()}
+    assert all(got.get(i, key) == key for i, (_, key) in enumerate(typed))
+
+
 def test_deletes_find_all_within_bound():
     rng = random.Random(2)
     words = ["".join(rng.choice("абв") for _ in range(rng.randint(4, 9))) for _ in range(60)]
@@ -159,7 +176,7 @@ def test_copies_of_a_misreading_are_no_words(spark, lexicon):
 def test_lookalikes(spark, lexicon):
     cases = [
         ("name", "Клaпaн", "Клапан"), ("name", "ста​ль", "сталь"), ("name", "а́б", "а́б"), ("name", "й", "й"), ("name", "и​̆", "й"), ("name", "１２", "12"), ("name", "a б в", "а б в"),
-        ("name", "× Ø « » №\r\n", "× Ø « » №\r\n"), ("name", "исполнение Ⅱ", "исполнение II"), ("type_mark", "CKB-1", "СКВ-1"), ("type_mark", "ХВТ-1", "XBT-1"), ("manufacturer", "КАРТОХЕ", "KAPTOXE"), ("manufacturer", "Bиxpeнa", "Вихрена"),
+        ("name", "× Ø « » №\r\n", "× Ø « » №\r\n"), ("name", "исполнение Ⅱ", "исполнение II"), ("name", "ɡate", "gate"), ("name", "Ꭺвтомат", "Автомат"), ("name", "ԁoor", "door"), ("name", "насᎾс", "насᎾс"), ("name", "𝐊лапан", "Клапан"), ("name", "ﬁne", "fine"), ("name", "é", "é"), ("name", "и\u0306\u0301", "й\u0301"), ("type_mark", "CKB-1", "СКВ-1"), ("type_mark", "ХВТ-1", "XBT-1"), ("manufacturer", "КАРТОХЕ", "KAPTOXE"), ("manufacturer", "Bиxpeнa", "Вихрена"),
     ]
     rows = [(i, *[t if c == k else None for c in ("name", "type_mark", "manufacturer")], "x") for i, (k, t, _) in enumerate(cases)] + [(99, "", None, "", None)]
     df = spark.createDataFrame(rows, "raw_id long, name string, type_mark string, manufacturer string, column_key string")
@@ -173,6 +190,14 @@ def test_lookalikes(spark, lexicon):
     assert lookalikes.changed_cells(df.limit(0), "raw_id", columns, lexicon).count() == 0
 
 
+def test_long_runs_of_accents(spark, lexicon):
+    """A base with any number of marks adds nothing to what is brought to the driver but the marks themselves."""
+    df = spark.createDataFrame([(i, "и" + "\u0306" * i, None, None) for i in range(1, 300)], "raw_id long, name string, type_mark string, manufacturer string")
+    counts, _ = lookalikes.census(df, ["name"], lookalikes.Lexicon.read(lexicon))
+    assert set(counts) == {"и", "\u0306"}
+    assert {r["name"] for r in lookalikes.unify_text(df, "raw_id", ["name"], lexicon).collect()} == {"й" + "\u0306" * i for i in range(299)}
+
+
 def test_classes_are_transitive():
     uf = lookalikes.classes_of(["Ａ", "Α"])
     assert len({uf.find(c) for c in ("A", "А", "Α", "Ａ")}) == 1
@@ -196,6 +221,9 @@ def test_format_duplicates(spark):
         counted = sorted(tuple(r) for r in format_dups.copy_groups(df, hot_share=hot, salts=3).collect())
         assert counted == [(1, 3), (4, 1), (5, 1), (6, 1), (7, 2), (9, 1), (10, 1)]
     assert format_dups.copies(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "Лист 2, сталь 3", None), (5, "Сталь 3; лист 2", ""), (5, "Сталь 3; лист 2", ""), (7, None, "сталь 3 | лист 2")], "row_order long, name string, type_mark string")
+    for hot in (1000, 1):
+        assert sorted(tuple(r) for r in format_dups.copies(twice, hot_share=hot).collect()) == [(1, 5), (1, 7)]
     skewed = spark.range(1, 3001).select(F.col("id").alias("row_order"), F.when(F.col("id") % 3 == 0, "Лист").otherwise(F.concat(F.lit("Лист "), F.col("id"))).alias("name"), F.lit("").alias("type_mark"))
     assert format_dups.copies(skewed).agg(F.count("*"), F.min("first_id"), F.max("first_id")).collect()[0] == (999, 3, 3)
 
