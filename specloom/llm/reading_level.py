@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ LEVELS = (1, 5)
 DEMANDING = 3.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_DIGIT = re.compile(r"[\d²³¹⁰⁴-⁹₀-₉]")
 _SENTENCE = re.compile(r"[.!?…]+(?:\s|$)|\n\s*\n")
 #: Fixed values. Words that open a clause, Russian and English.
 CLAUSES = frozenset("что чтобы который которая которое которые которых которым если когда поскольку хотя пока так как ибо буде причём вследствие тот та чей кто кому that which who whom whose if when because although while whereas whereby unless since until so as".split())
@@ -37,29 +39,60 @@ VOWELS = frozenset("аеёиоуыэюяaeiouyäöüéè")
 SYNTAX = 14
 
 
-def features(text: str) -> np.ndarray:
-    """SYNTAX numbers on syntax, then the shares of the hashed stems; all zero for a text without words."""
-    out = np.zeros(SYNTAX + STEMS, dtype=np.float32)
-    words = [w.lower() for w in _WORD.findall(text)]
+#: What is known of a word: letters, syllables, whether it opens a clause, the place of its stem. Emptied at KEPT words.
+_KNOWN: dict[str, tuple[int, int, bool, int]] = {}
+KEPT = 300_000
+
+
+def _known(word: str) -> tuple[int, int, bool, int]:
+    if (hit := _KNOWN.get(word)) is None:
+        if len(_KNOWN) > KEPT:
+            _KNOWN.clear()
+        hit = _KNOWN[word] = (len(word), sum(c in VOWELS for c in word) or 1, word in CLAUSES, SYNTAX + zlib.crc32(word[:STEM].encode()) % STEMS)
+    return hit
+
+
+def fill_features(text: str | None, out: np.ndarray) -> bool:
+    """Puts SYNTAX numbers on syntax, then the shares of the hashed stems, into a row of zeros; False for a text without words."""
+    words = [w.lower() for w in _WORD.findall(text)] if text else []
     if not words:
-        return out
-    n = len(words)
+        return False
+    n, counts = len(words), Counter(words)
+    letters = squares = syllables = clauses = long7 = long10 = long13 = short = 0
+    stems: dict[int, int] = {}
+    for w, k in counts.items():
+        size, spoken, opens, stem = _known(w)
+        letters += k * size
+        squares += k * size * size
+        syllables += k * spoken
+        clauses += k * opens
+        long7 += k * (size >= 7)
+        long10 += k * (size >= 10)
+        long13 += k * (size >= 13)
+        short += k * (size <= 3)
+        stems[stem] = stems.get(stem, 0) + k
     sentences = max(1, sum(1 for s in _SENTENCE.split(text) if _WORD.search(s)))
-    lengths = np.fromiter(map(len, words), dtype=np.float32, count=n)
-    syllables = sum(sum(c in VOWELS for c in w) or 1 for w in words)
+    mean = letters / n
     out[:SYNTAX] = (
-        np.log(n / sentences), lengths.mean(), (lengths >= 7).mean(), (lengths >= 10).mean(), (lengths >= 13).mean(), (lengths <= 3).mean(), syllables / n, text.count(",") / n * 5, text.count(":") / n * 10,
-        sum(w in CLAUSES for w in words) / n * 10, len(set(words)) / n, np.log(n), lengths.std(), sum(c.isdigit() for c in text) / max(1, len(text)) * 10,
+        np.log(n / sentences), mean, long7 / n, long10 / n, long13 / n, short / n, syllables / n, text.count(",") / n * 5, text.count(":") / n * 10,
+        clauses / n * 10, len(counts) / n, np.log(n), max(0.0, squares / n - mean * mean) ** 0.5, len(_DIGIT.findall(text)) / len(text) * 10,
     )
-    stems: dict[str, int] = {}
-    for w in words:
-        s = w[:STEM]
-        stems[s] = stems.get(s, 0) + 1
-    for s, k in stems.items():
-        out[SYNTAX + zlib.crc32(s.encode()) % STEMS] += k / n * 20
+    for stem, k in stems.items():
+        out[stem] = k / n * 20
+    return True
+
+
+def features(text: str | None) -> np.ndarray:
+    """The features of one text; all zero for a text without words."""
+    out = np.zeros(SYNTAX + STEMS, dtype=np.float32)
+    fill_features(text, out)
     return out
 
 
+#: Texts that are scored as one matrix.
+ROWS = 1024
+
+
 @dataclass(frozen=True)
 class LevelModel:
     """score = weights · (features - mean) / scale; levels rise in steps at the knots."""
@@ -143,17 +176,16 @@ def score_documents(documents: DataFrame, model: LevelModel) -> DataFrame:
     """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, t in zip(b["doc_id"], b["text"]):
-                x = features(t) if t else None
-                if x is None or not x.any():
-                    out.append((k, None, None, None))
-                    continue
-                s = model.scores(x[None])
-                c = float(model.calibrated(s)[0])
-                out.append((k, float(s[0]), c, int(min(LEVELS[1], max(LEVELS[0], np.floor(c + 0.5))))))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "calibrated", "level"]).astype({"score": "Float64", "calibrated": "Float64", "level": "Int32"})
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                x = np.zeros((len(b), SYNTAX + STEMS), dtype=np.float32)
+                empty = ~np.fromiter((fill_features(t, row) for t, row in zip(b["text"], x)), dtype=bool, count=len(b))
+                s = model.scores(x).astype(np.float64)
+                c = np.asarray(model.calibrated(s), dtype=np.float64)
+                columns = {"score": s, "calibrated": c, "level": np.clip(np.floor(c + 0.5), *LEVELS)}
+                kinds = {"score": "Float64", "calibrated": "Float64", "level": "Int32"}
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()} | {k: pd.Series(v).mask(empty).astype(kinds[k]) for k, v in columns.items()})
 
     return documents.select("doc_id", "text").mapInPandas(score, f"doc_id {dict(documents.dtypes)['doc_id']}, score double, calibrated double, level int")
 
