@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.session import checked_broadcast, cut
+from specloom.session import LOOKUP_ROWS, checked_broadcast, cut
 
 #: Edits allowed between two full cores.
 K = 2
@@ -284,11 +284,12 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def trie_join(cores: DataFrame, block: int = BLOCK, shards: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = _shards) -> DataFrame:
     """a, b: the distinct pairs of ``full`` strings within the edits allowed, in any order of ``words``. Wants distinct full with words, or what ``shards`` reads."""
-    rows = cut(cores.mapInPandas(shards, "shard string, is_index boolean, form string, name string"))
-    sizes = rows.groupBy("shard").agg(F.count_if("is_index").alias("cores"), F.count_if(~F.col("is_index")).alias("queries"))
+    rows = cut(cores.repartition(cores.sparkSession.sparkContext.defaultParallelism).mapInPandas(shards, "shard string, is_index boolean, form string, name string"))
     parts_of = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
-    heavy = sizes.where((F.col("cores") > block) | (F.col("queries") > block)).select("shard", parts_of("cores").alias("blocks"), parts_of("queries").alias("parts"))
-    rows = rows.join(checked_broadcast(heavy), "shard", "left").fillna(1, ["blocks", "parts"])
+    held = rows.where("is_index").groupBy("shard").agg(F.count("*").alias("cores")).select("shard", parts_of("cores").alias("blocks"))
+    rows = cut(rows.join(checked_broadcast(cut(held), 4 * LOOKUP_ROWS), "shard"))  # most shards that are asked for hold nothing
+    heavy = rows.where(~F.col("is_index")).groupBy("shard").agg(F.count("*").alias("queries")).where(F.col("queries") > block).select("shard", parts_of("queries").alias("parts"))
+    rows = rows.join(checked_broadcast(heavy), "shard", "left").fillna(1, ["parts"])
     own = lambda n: F.array(F.pmod(F.xxhash64("form", "name"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_index"), own("blocks")).otherwise(every("blocks"))))
