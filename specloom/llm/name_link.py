@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations, permutations
 
 import pandas as pd
@@ -40,8 +41,6 @@ BLOCK = 20_000
 ORDERS, TOUCHED = 4, 3
 #: Entries of one class in a block of the join that gives its pairs.
 PAIR_BLOCK = 4096
-#: Up to so many names of a shard are compared by their letters before the trie is walked.
-FEW = 64
 #: A place named by one entry in so many counts as a place wherever it stands.
 PLACE_SHARE = 1000
 
@@ -126,63 +125,72 @@ def letter_set(s: str) -> int:
     return out
 
 
+@lru_cache(maxsize=None)
+def _bands(more: int, k: int) -> tuple[int, int, list[int]]:
+    """For names that are ``more`` letters longer and k edits: the lowest shift, the mask of all shifts, and for each number of edits those that the rest can even out."""
+    slack = (k - abs(more)) // 2
+    low, high = min(0, more) - slack, max(0, more) + slack
+    width = range(high - low + 1)
+    return low, (1 << len(width)) - 1, [sum(1 << x for x in width if abs(more - low - x) <= k - e) for e in range(k + 1)]
+
+
 class NameTrie:
-    """Names of one length as nested dicts; '' marks the end of a name."""
+    """Names of one length. A node is its children by letter, the letters that any and that all of its names hold, and the name that ends there."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root: list = [{}, 0, -1, None]
         self.size = 0
-        self.letters: list[int] = []
 
     def add(self, form: str) -> None:
-        node, self.size = self.root, len(form)
+        node, self.size, letters = self.root, len(form), letter_set(form)
         for c in form:
-            node = node.setdefault(c, {})
-        node[""] = form
-        if len(self.letters) <= FEW:
-            self.letters.append(letter_set(form))
-
-    def hopeless(self, name: str, k: int) -> bool:
-        """Whether no name can be within k edits, for an edit changes at most two letters of the set of letters."""
-        own = letter_set(name)
-        return len(self.letters) <= FEW and all((own ^ x).bit_count() > 2 * k for x in self.letters)
+            node = node[0].setdefault(c, [{}, 0, -1, None])
+            node[1] |= letters
+            node[2] &= letters
+        node[3] = form
 
     def within(self, name: str, k: int) -> Iterator[tuple[str, int]]:
-        """Names within k edits, a swap of neighbours counting as one. A row holds only the cells from which the lengths can still be evened out."""
+        """Names within k edits, a swap of neighbours counting as one.
+
+        The automaton is run as one bit mask for each number of edits: bit x says that as many letters of the name are read
+        as of the trie, and x + low more. A mask holds only what the edits left can still bring to equal lengths. A branch
+        ends when all masks are empty, or when its names lack more than k letters of the name or all hold more than k others.
+        """
         n, more = len(name), len(name) - self.size
-        if abs(more) > k or self.hopeless(name, k):
+        if abs(more) > k or not self.root[0]:
             return
-        slack = (k - abs(more)) // 2
-        low, high = min(0, more) - slack, max(0, more) + slack
-        width, never = high - low + 1, k + 1
-        rest = [abs(more - d) for d in range(low, high + 1)]
-        stack = [(self.root, "", 0, None, [d if d >= 0 else never for d in range(low, high + 1)])]
+        low, window, bands = _bands(more, k)
+        end, own, at = 1 << (more - low), letter_set(name), {}
+        for i, c in enumerate(name):
+            at[c] = at.get(c, 0) | 1 << i
+
+        def hits(c: str, start: int) -> int:
+            return (at.get(c, 0) >> start if start >= 0 else at.get(c, 0) << -start) & window
+
+        first = [((2 << e) - 1 << -low) & window & bands[e] for e in range(k + 1)]
+        stack = [(self.root, "", 0, [0] * (k + 1), first)]
         while stack:
-            node, before, depth, above, row = stack.pop()
-            if (end := node.get("")) is not None:
-                if row[more - low] <= k:
-                    yield end, row[more - low]
+            node, before, depth, above, rows = stack.pop()
+            if node[3] is not None:
+                if (d := next((e for e, r in enumerate(rows) if r & end), None)) is not None:
+                    yield node[3], d
                 continue
-            for c, child in node.items():
-                new, alive, last = [], False, never
-                for x in range(width):
-                    j = depth + 1 + low + x
-                    v = never
-                    if 0 <= j <= n:
-                        if j:
-                            v = row[x] + (name[j - 1] != c)
-                            if last + 1 < v:
-                                v = last + 1
-                            if above is not None and j > 1 and name[j - 2] == c and name[j - 1] == before and above[x] + 1 < v:
-                                v = above[x] + 1
-                        if x + 1 < width and row[x + 1] + 1 < v:
-                            v = row[x + 1] + 1
-                        if v + rest[x] <= k:
-                            alive = True
-                    new.append(v)
-                    last = v
+            start = depth + low
+            swapped = hits(before, start) if before else 0
+            for c, child in node[0].items():
+                if (own & ~child[1]).bit_count() > k or (child[2] & ~own).bit_count() > k:
+                    continue
+                hit = hits(c, start)
+                swap = swapped & hits(c, start - 1)
+                alive = last = rows[0] & hit & bands[0]
+                new = [last]
+                for e in range(1, k + 1):
+                    r = rows[e - 1]
+                    last = (rows[e] & hit | r | r >> 1 | last << 1 | above[e - 1] & swap) & bands[e]
+                    alive |= last
+                    new.append(last)
                 if alive:
-                    stack.append((child, c, depth + 1, row, new))
+                    stack.append((child, c, depth + 1, rows, new))
 
 
 def _allowed(n: int) -> int:
@@ -275,7 +283,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if form not in names:
                     trie.add(form)
                 names.setdefault(form, []).append(name)
-            elif trie.root:
+            else:
                 for met, d in trie.within(form, min(_allowed(len(form)), _allowed(trie.size))):
                     if d <= K or slips(form, met) <= SLIPS:
                         out.update((min(name, other), max(name, other)) for other in names[met] if other != name)
