@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specloom.schema import COLUMNS, UNITS
+from specloom.schema import COLUMNS, NUMERIC, UNITS
 
 W = r"[\p{L}\p{N}_]"
 #: Fixed values. A word that reads as ГОСТ in any mix of alphabets and digits.
@@ -43,28 +43,42 @@ def each(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return c
 
 
+#: Fixed values. The steps of clean_text in order, as (pattern, replacement); EDGE is put where an abbreviation may end.
+EDGE = "EDGE"
+CLEAN_RULES = [
+    (r"[ \t]+", " "),
+    (r"\.{2,}", "."),
+    (r"[”\"»]+(?=:)", ""),
+    (r"(?U)\s*\n\s*", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"(?U)(?<=\d)\s*[xXхХ]\s*(?=\d)", "×"),
+    (rf"(?U)(?<!{W})[\$§](?=\s*\d)", "Ø"),
+    (rf"(?iU)(?<!{W})м\s*2(?!{W})", "м²"),
+    (rf"(?iU)(?<!{W})м\s*3(?!{W})", "м³"),
+    (rf"(?iU)(?<!{W})шт{EDGE}\s*\.*", "шт."),
+    (rf"(?iU)(?<!{W})компл{EDGE}\s*\.*", "компл."),
+    (rf"(?<!{W}){GOST}(?!{W})", "ГОСТ"),
+]
+#: Fixed values. Codes and names of models that are read in the wrong letters.
+MODEL_RULES = [
+    (r"(?iU)\bAPH(?=\s*\d)", "АРН"),
+    (r"(?iU)\bKBK(?=\s*\d)", "КВК"),
+    (r"(?iU)\b6APC(?=\d)", "6АРС"),
+    (r"(?iU)SOLARIS Lite [XХ]P(?=\s)", "SOLARIS Lite XP"),
+    (r"(?iU)(SOLARIS Lite XP \d+-\d+/)\\\.(\d+)", "$1V.$2"),
+]
+#: Fixed values. Other rules by column: a leading dash with dirt, a 6 for в before a kit, a proper name, ООО read as zeros.
+LEADING_DASH, SIX_FOR_IN = (r"(?U)^[-–—]\s*[_~]+\s*", "- "), (r"(?iU)\b6\s+(?=компл\.)", "в ")
+PROPER_NAME, ZEROS = (r"(?iU)нахимобскии", "Нахимовский"), (r"(?U)^0{2,3}(?=\s|$)", "ООО")
+#: Fixed value. The last rule of every column.
+CLOSING = (r"(?iU)\bвозд\.\s*Клапана\b", "возд.клапана")
+
+
 def clean_text(c: Column | str, compat: bool = False) -> Column:
     """Blanks, dashes, signs and common abbreviations in one form. compat: шт and компл also inside longer words."""
-    edge = "" if compat else rf"(?!{W})"
-    s = F.translate(text(c), " —–­", " --")
+    s = F.translate(text(c), "\u00a0\u2014\u2013\u00ad", " --")
     s = F.replace(F.replace(s, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
-    s = each(
-        s,
-        [
-            (r"[ \t]+", " "),
-            (r"\.{2,}", "."),
-            (r"[”\"»]+(?=:)", ""),
-            (r"(?U)\s*\n\s*", "\n"),
-            (r"\n{3,}", "\n\n"),
-            (r"(?U)(?<=\d)\s*[xXхХ]\s*(?=\d)", "×"),
-            (rf"(?U)(?<!{W})[\$§](?=\s*\d)", "Ø"),
-            (rf"(?iU)(?<!{W})м\s*2(?!{W})", "м²"),
-            (rf"(?iU)(?<!{W})м\s*3(?!{W})", "м³"),
-            (rf"(?iU)(?<!{W})шт{edge}\s*\.*", "шт."),
-            (rf"(?iU)(?<!{W})компл{edge}\s*\.*", "компл."),
-            (rf"(?<!{W}){GOST}(?!{W})", "ГОСТ"),
-        ],
-    )
+    s = each(s, [(p.replace(EDGE, "" if compat else rf"(?!{W})"), to) for p, to in CLEAN_RULES])
     return F.regexp_replace(s, r"^[ \n|_]+|[ \n|_]+$", "")
 
 
@@ -90,31 +104,26 @@ def unit_text(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(pairs, compact), text(c))
 
 
-def number_pattern_rules() -> list[tuple[str, str]]:
-    """Code beginnings that are read in Latin letters."""
-    return [(r"(?iU)\bAPH(?=\s*\d)", "АРН"), (r"(?iU)\bKBK(?=\s*\d)", "КВК"), (r"(?iU)\b6APC(?=\d)", "6АРС")]
-
-
 def normalize_cell(key: str, c: Column | str, compat: bool = False) -> Column:
     """The text of a cell by the rules of its column; spelling correction is an operator of its own."""
     return column_rules(key, clean_text(c, compat))
 
 
-def column_rules(key: str, s: Column) -> Column:
-    """The rules of a column for a text that is clean already."""
+def column_rules(key: str, s: Column, closing: bool = True) -> Column:
+    """The rules of a column for a text that is clean already; without the closing one if spelling correction is still to come."""
     if key in ("name", "note"):
-        s = each(s, [(r"(?U)^[-–—]\s*[_~]+\s*", "- "), (r"(?U)\b6\s+(?=компл\.)", "в ")])
+        s = each(s, [LEADING_DASH, SIX_FOR_IN])
     if key == "manufacturer":
-        s = F.regexp_replace(s, r"^0{2,3}(?=\s|$)", "ООО")
+        s = each(s, [PROPER_NAME, ZEROS])
     if key in ("type_mark", "code", "manufacturer"):
         s = F.regexp_replace(s, rf"(?U)(?<!{W}){GOST}(?=\s*\d)", "ГОСТ")
     if key == "type_mark":
-        s = each(s, number_pattern_rules())
-    if key in ("quantity", "mass"):
+        s = each(s, MODEL_RULES)
+    if key in NUMERIC:
         s = numeric_text(s)
     if key == "unit":
         s = unit_text(s)
-    return s
+    return F.regexp_replace(s, *CLOSING) if closing else s
 
 
 def normalize_by_key(df: DataFrame, key: str, value: str, correct: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -126,16 +135,16 @@ def normalize_by_key(df: DataFrame, key: str, value: str, correct: Callable[[Dat
     def ruled(keys: Iterable[str]) -> Column:
         out = F.col("_clean")
         for k in keys:
-            out = F.when(F.col(key) == k, column_rules(k, F.col("_clean"))).otherwise(out)
+            out = F.when(F.col(key) == k, column_rules(k, F.col("_clean"), closing=False)).otherwise(out)
         return out
 
-    keys = [k for k in COLUMNS if k not in ("code", "position_no")]
+    keys = list(COLUMNS)
     clean = df.withColumn("_clean", clean_text(value))
     if correct is not None:
         first = [k for k in keys if k in ("name", "note")]
         clean = correct(clean.withColumn("_clean", ruled(first)), "_clean")
         keys = [k for k in keys if k not in first]
-    return clean.withColumn(value, ruled(keys)).drop("_clean")
+    return clean.withColumn("_clean", ruled(keys)).withColumn(value, F.regexp_replace("_clean", *CLOSING)).drop("_clean")
 
 
 def plausibility(key: Column, value: Column) -> Column:
@@ -161,6 +170,22 @@ def export_number(c: Column | str) -> tuple[Column, Column]:
     return number, F.when(~s.isin("", "-", ".") & number.isNull(), text(c))
 
 
+def round1(x: Column) -> Column:
+    """x to one decimal by its exact binary value, a true tie to the even side: 66.65, which is a little more in binary, becomes 66.7.
+
+    x * 20 is computed with its rounding error, which says on which side of a middle x lies.
+    """
+    big = x * 134217729.0
+    high = big - (big - x)
+    low = x - high
+    p = x * 20.0
+    error = (high * 20.0 - p) + low * 20.0
+    middle = F.abs(p % 2) == 1.0
+    below = F.floor(p / 2.0)
+    up = F.when(error > 0, 1).when(error < 0, 0).otherwise(F.abs(below % 2))
+    return F.when(middle, below + up).otherwise(F.floor((p + 1.0) / 2.0)) / 10.0
+
+
 def confidence(c: Column | str) -> Column:
     """A confidence of 0 at least; 0 for null and NaN."""
     v = F.col(c) if isinstance(c, str) else c

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import NUMBER, ORDINARY, confidence, normalize_by_key, plausibility, strip, text
+from specloom.functions.text import NUMBER, ORDINARY, confidence, normalize_by_key, plausibility, round1, strip, text
 from specloom.operators.spelling import CORRECTED, correct_texts
-from specloom.schema import COLUMNS, NUMERIC, THRESHOLDS, UNITS, Profile
+from specloom.schema import COLUMNS, NUMERIC, PASS_OF_COLUMN, THRESHOLDS, UNITS, Profile, column_scale
 from specloom.session import checked_broadcast, cut
 
 PAGE = ["document_id", "page"]
@@ -45,6 +45,13 @@ def cell_texts(placed: DataFrame) -> DataFrame:
     return grouped.select(*PAGE, "row_no", "col_no", "pass_name", "pass_ordinal", F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"), mean.alias("confidence"))
 
 
+def numbered_candidates(texts: DataFrame) -> DataFrame:
+    """texts with ``place``: the order of the candidates of a cell, those of page passes, of column passes, then of single cells, each by their pass."""
+    stage = F.when(F.col("pass_name").startswith("page-"), 0).when(F.col("pass_name").startswith(PASS_OF_COLUMN), 1).otherwise(2)
+    w = Window.partitionBy(*PAGE, "row_no", "col_no").orderBy(stage, "pass_ordinal", "pass_name")
+    return texts.withColumn("place", F.row_number().over(w))
+
+
 def key_of(col_no: Column, profile: Profile = Profile()) -> Column:
     return F.get(F.array(*[F.lit(c) for c in profile.columns]), col_no)
 
@@ -57,17 +64,23 @@ def score(key: Column, value: Column, conf: Column, source: Column) -> Column:
     return conf + plausibility(key, value) + source_bonus(source)
 
 
-def choose_reading(candidates: DataFrame, by: list[str], ordinal: str, key: str = "column_key", value: str = "text", conf: str = "confidence", source: str = "source") -> DataFrame:
+def choose_reading(candidates: DataFrame, by: list[str], ordinal: str, key: str = "column_key", value: str = "text", conf: str = "confidence", source: str = "source", judged: str | None = None) -> DataFrame:
     """by, text, confidence, source: the candidate of the highest score, the first of equal ones; ('', 0, 'none') without any.
 
-    One aggregation with partial maxima: no sort and no window over the candidates.
+    judged: the column with the normalised text that plausibility is told from, if ``value`` isn't normalised. One
+    aggregation with partial maxima over a composite struct, without a window over the candidates.
     """
     v, c, s = text(value), confidence(conf), F.coalesce(F.col(source), F.lit("none"))
-    rank = F.when(v != "", F.struct(score(F.col(key), v, c, s).alias("score"), (-F.col(ordinal)).alias("o"), v.alias("text"), c.alias("confidence"), s.alias("source")))
+    rank = F.when(v != "", F.struct(score(F.col(key), text(judged or value), c, s).alias("score"), (-F.col(ordinal)).alias("o"), v.alias("text"), c.alias("confidence"), s.alias("source")))
     best = candidates.groupBy(*by).agg(F.max(rank).alias("b"))
     return best.select(*by, F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("b.source", F.lit("none")).alias("source"))
 
 
+def with_judged(readings: DataFrame, key: str = "column_key", value: str = "text", name: str = "judged") -> DataFrame:
+    """readings with their texts normalised by column, beside the texts as they are."""
+    return normalize_by_key(readings.withColumn(name, F.col(value)), key, name)
+
+
 def remove_noise(key: Column, value: Column, conf: Column) -> Column:
     """'' for what is dirt in its column, else the value."""
     compact = F.lower(strip(value))
@@ -110,17 +123,84 @@ def back_fill(rows: DataFrame, unit_again: str, quantity_again: str, unit_confid
     return filled.withColumn("quantity", quantity)
 
 
-def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(), lexicon: DataFrame | None = None) -> DataFrame:
-    """document_id, page, row_no, column_key, text, confidence, source of every cell that has words; misspelt ones corrected if a lexicon is given."""
+def column_pass_tokens(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """Words of column passes with the row_no and col_no of their cell.
+
+    A column pass reads one column from the first data row down, enlarged: pass_name ends in the column's key, and
+    heights are divided by its scale before they are compared with the lines of the page. A centre on a line belongs to
+    the cell above it.
+    """
+    columns = [(PASS_OF_COLUMN + k, i, column_scale(k)) for i, k in enumerate(profile.columns)]
+    passes = tokens.sparkSession.createDataFrame(columns, "pass_name string, col_no int, scale double")
+    first = grid.select(*PAGE, F.get("y_lines", F.least(F.lit(profile.header_rows), F.size("y_lines") - 1)).alias("top_line"))
+    words = tokens.where(strip("text") != "").join(F.broadcast(passes), "pass_name").join(checked_broadcast(first), PAGE)  # a row per column
+    rows = checked_broadcast(axis(grid, "y_lines", "row_no", "y0", "y1").where(F.col("row_no") >= profile.header_rows))
+    words = words.withColumn("cy", F.col("top_line") + (F.col("top_px") + F.col("height_px") / 2) / F.col("scale"))
+    return words.join(rows, PAGE).where((F.col("cy") > F.col("y0")) & (F.col("cy") <= F.col("y1"))).drop("cy", "y0", "y1", "scale", "top_line")
+
+
+def is_again(source: Column) -> Column:
+    """Whether a reading comes from a single cell that was read again."""
+    return source.startswith("cell-")
+
+
+def read_again(cells: DataFrame, again: DataFrame, by: list[str], accurate: bool, profile: Profile = Profile()) -> DataFrame:
+    """cells (by, column_key, text, confidence, source) with second readings of the doubtful ones taken into account.
+
+    A number that is none is always read again; in accurate mode so are the first doubtful cells of each page, in the order
+    of rows and columns, up to the budget. The first reading and the second one then compete. Cells without a second
+    reading stay. again: the same columns, one row a cell.
+    """
+    key, value = F.col("column_key"), F.col("text")
+    if accurate:
+        place = F.array_position(F.array(*[F.lit(c) for c in profile.columns]), key)
+        flagged = cells.withColumn("doubtful", doubtful(key, value, F.col("confidence"), profile.thresholds)).withColumn("place", place)
+        turns = refinement_budget(flagged, ["row_no", "place"], PAGE, profile.refinements).select(*by, "column_key", F.lit(True).alias("turn"))
+        cells = cells.join(turns, [*by, "column_key"], "left")
+    else:
+        cells = cells.withColumn("turn", F.lit(False))
+    wanted = cells.where(needs_number(key, value) | F.coalesce("turn", F.lit(False))).select(*by, "column_key")
+    second = again.join(wanted, [*by, "column_key"], "left_semi").withColumn("ordinal", F.lit(1))
+    both = cells.drop("turn").withColumn("ordinal", F.lit(0)).unionByName(second)
+    return choose_reading(both, [*by, "column_key"], "ordinal")
+
+
+def fill_amounts(cells: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """cells with a missing unit beside a quantity, or a missing quantity beside a unit, filled from second readings, in rows that name something."""
+    of = lambda k: F.max(F.when(F.col("column_key") == k, F.col("text")))
+    held = cells.groupBy(*by).agg(*[F.coalesce(of(k), F.lit("")).alias(k) for k in ("name", "type_mark", "manufacturer", "unit", "quantity")])
+    has = lambda k: F.col(k) != ""
+    second = again.where(F.col("column_key").isin("unit", "quantity") & (F.col("text") != "")).join(held.where((has("name") | has("type_mark") | has("manufacturer")) & (has("unit") | has("quantity")) & ~(has("unit") & has("quantity"))), by)
+    unit = second.where((F.col("column_key") == "unit") & has("quantity"))
+    unit = unit.withColumn("text", remove_noise(F.lit("unit"), F.col("text"), F.col("confidence"))).withColumn("confidence", F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0))
+    new = unit.unionByName(second.where((F.col("column_key") == "quantity") & has("unit"))).select(*by, "column_key", "text", "confidence", "source")
+    return cells.join(new.select(*by, "column_key"), [*by, "column_key"], "left_anti").unionByName(new)
+
+
+def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(), lexicon: DataFrame | None = None, accurate: bool = True) -> DataFrame:
+    """document_id, page, row_no, column_key, text, confidence, source of every cell that has words.
+
+    Readings of the page compete; words of column passes come with their cell, see column_pass_tokens, and are taken for
+    placed if they have the coordinates of the page. Readings of single cells (pass names ``cell-``) only count where a
+    cell is read again or an amount is filled. Misspelt words are corrected if a lexicon is given.
+    """
+    by = [*PAGE, "row_no"]
     cells = cell_texts(bucket_tokens(tokens, grid, profile)).withColumn("column_key", key_of(F.col("col_no"), profile))
     correct = None
     if lexicon is not None:
         cells = cut(cells)
         correct = lambda df, value: correct_texts(df, value, lexicon, F.col("column_key").isin(*CORRECTED))
-    normal = normalize_by_key(cells, "column_key", "text", correct).withColumnRenamed("pass_name", "source")
-    best = choose_reading(normal, [*PAGE, "row_no", "column_key"], "pass_ordinal")
+    normal = cut(normalize_by_key(cells, "column_key", "text", correct).withColumnRenamed("pass_name", "source"))
+    best = choose_reading(normal.where(~is_again(F.col("source"))), [*by, "column_key"], "pass_ordinal")
+    again = choose_reading(normal.where(is_again(F.col("source"))), [*by, "column_key"], "pass_ordinal")
+    some = not again.isEmpty()
+    if some:
+        best = read_again(best, again, by, accurate, profile)
     value = remove_noise(F.col("column_key"), F.col("text"), F.col("confidence"))
-    return best.withColumn("text", value).withColumn("confidence", F.round(F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0), 1))
+    best = best.withColumn("text", value).withColumn("confidence", F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0))
+    if some:
+        best = fill_amounts(best, again, by)
+    return best.withColumn("confidence", round1(F.col("confidence")))
 
 
 def wide_rows(cells: DataFrame, grid: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,11 +42,26 @@ def counters(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """what, value, n: rows in all, by status and by type, in one pass over the rows."""
+def review_filters(rows: DataFrame, filters: Sequence[tuple[str | None, str | None, str | None]], key: str) -> DataFrame:
+    """filter_id and ``key`` of the rows that each of several filters keeps (row type, status, search; see review_filter), in one pass."""
+    kept = F.array(*[F.when(review_filter(*f), F.lit(i)) for i, f in enumerate(filters)])
+    return rows.select(F.explode(F.filter(kept, lambda i: i.isNotNull())).alias("filter_id"), key)
+
+
+def summary(rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """what, value, n: rows in all, by status and by type, in one pass over the rows; and pages with errors, if such are given as (document_id, page)."""
     kinds = F.array(F.struct(F.lit("total").alias("what"), F.lit("").alias("value")), F.struct(F.lit("status").alias("what"), text("status").alias("value")), F.struct(F.lit("row_type").alias("what"), text("row_type").alias("value")))
     few = rows.groupBy("status", "row_type").agg(F.count("*").alias("n"))
-    return few.select("n", F.inline(kinds)).groupBy("what", "value").agg(F.sum("n").alias("n"))
+    out = few.select("n", F.inline(kinds)).groupBy("what", "value").agg(F.sum("n").alias("n"))
+    if errors is None:
+        return out
+    pages = errors.select("document_id", "page").distinct().agg(F.count("*").alias("n"))
+    return out.unionByName(pages.select(F.lit("page_errors").alias("what"), F.lit("").alias("value"), "n"))
+
+
+def rows_by_id(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is in ``ids``; each row once however often it is asked for. Null keys find nothing."""
+    return rows.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
 
 
 def first_errors(errors: DataFrame, by: list[str], order: list[str], message: str, n: int = 3) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.functions.text import strip, text
+from specloom.functions.text import round1, strip, text
 from specloom.schema import COLUMNS, SECTION_STEMS
-from specloom.session import checked_broadcast, cut
+from specloom.session import cut
 
 #: Fixed value. The code of a system.
 SYSTEM = r"(?iu)^(?:[ПВКЕBPK]{1,4}\d+(?:[.,]\d+)?|К\d+(?:\.\d+)*)$"
@@ -49,7 +51,7 @@ def merge_continuations(rows: DataFrame, page: list[str], order: list[str]) -> D
     def folded(c: str) -> Column:
         """A column's confidence: the mean of two at a time where both count, rounded each time; blank cells add nothing."""
         conf = lambda x: F.coalesce(F.try_element_at(x["confidences"], F.lit(c)), F.lit(0.0))
-        step = lambda a, x: F.when(x[c] == "", a).otherwise(F.round((a + conf(x)) / F.when((a != 0) & (conf(x) != 0), 2).otherwise(1), 1))
+        step = lambda a, x: F.when(x[c] == "", a).otherwise(round1((a + conf(x)) / F.when((a != 0) & (conf(x) != 0), 2).otherwise(1)))
         return F.aggregate(F.slice("p", 2, 1 << 20), conf(F.get("p", F.lit(0))), step)
 
     top = F.get("p", F.lit(0))["bbox"]
@@ -82,24 +84,6 @@ def classify() -> Column:
     )
 
 
-def carry_down(rows: DataFrame, by: list[str], block: str, order: list[str], values: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """rows with, for each name, the last non-null value above (True: or in the row itself), in the order within ``by``.
-
-    Done in two levels, for one document may hold a large part of all rows: windows run within a block of
-    it, then over one summary row per block, and what a block inherits is joined to its rows.
-    """
-    w = Window.partitionBy(*by, block).orderBy(*order)
-    frames = {True: w.rowsBetween(Window.unboundedPreceding, 0), False: w.rowsBetween(Window.unboundedPreceding, -1)}
-    r = rows.withColumns({f"_{name}": value for name, (value, _) in values.items()})
-    at = F.struct(*order)
-    ends = r.groupBy(*by, block).agg(*[F.max(F.when(F.col(f"_{n}").isNotNull(), F.struct(at.alias("at"), F.col(f"_{n}").alias("v"))))["v"].alias(f"_{n}") for n in values])
-    above = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    inherited = checked_broadcast(ends.select(*by, block, *[F.last(f"_{n}", ignorenulls=True).over(above).alias(f"_in_{n}") for n in values]))
-    r = r.withColumns({f"_here_{name}": F.last(f"_{name}", ignorenulls=True).over(frames[inclusive]) for name, (_, inclusive) in values.items()})
-    r = r.join(inherited, [*by, block]).withColumns({name: F.coalesce(f"_here_{name}", f"_in_{name}") for name in values})
-    return r.drop(*[f"{p}{name}" for name in values for p in ("_", "_here_", "_in_")])
-
-
 #: Pages of a document that one window holds at most.
 BLOCK_PAGES = 64
 
@@ -107,31 +91,57 @@ BLOCK_PAGES = 64
 def with_context(rows: DataFrame, document: list[str], order: list[str], block_pages: int = BLOCK_PAGES) -> DataFrame:
     """row_type, section_name and system_name of each row, carried down its document; order begins with the page.
 
-    A short note under a section becomes a system; rows without an amount after a kit become its
-    components; section and system are the last ones above.
+    A short note under a section becomes a system; rows without an amount after a kit become its components; section and
+    system are the last ones above. Rows without a document, or without a page, are a document, or a block, of their own.
+
+    One document may hold a large part of all rows, so windows run within blocks of its pages, over rows that are written
+    once, and then over one summary row per block. Whether a short note is a system hangs on a section before its block,
+    so a block says its last system for either case and the summary picks one.
     """
     name, position = strip("name"), strip("position_no")
     label = F.when(name != "", name).otherwise(position)
     others = [c for c in COLUMNS if c not in ("name", "position_no")]
     alone = ~filled(*others) & ((name != "").cast("int") + (position != "").cast("int") == 1)
     amount = F.concat(text("unit"), text("quantity"), text("manufacturer")) != ""
-    r = rows.withColumn("_t", classify()).withColumn("_block", F.floor(F.col(order[0]) / block_pages))
     heading = F.regexp_replace(name, r"[:*]+$", "")
-    section = F.when(F.col("_t") == "section", F.when(heading != "", heading).otherwise(position))
-    opens = (F.col("_t") == "item") & F.lower(name).contains("компл") & (text("quantity") != "")
-    r = carry_down(r, document, "_block", order, {"section_name": (section, True), "seen": (F.when(F.col("_t") == "section", F.lit(True)), False), "active": (F.when(amount, opens), False)})
-    promoted = (F.col("_t") == "note") & F.col("seen").isNotNull() & alone & (F.length(label) <= 5)
+    r = rows.withColumns({"_t": classify(), "_block": F.floor(F.col(order[0]) / block_pages)})
+    r = r.withColumns(
+        {
+            "_label": label,
+            "_amount": amount,
+            "_short": (F.col("_t") == "note") & alone & (F.length(label) <= 5),
+            "_heading": F.when(F.col("_t") == "section", F.when(heading != "", heading).otherwise(position)),
+            "_opens": F.when(amount, (F.col("_t") == "item") & F.lower(name).contains("компл") & (text("quantity") != "")),
+        }
+    )
+    w = Window.partitionBy(*document, "_block").orderBy(*order)
+    here, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    r = r.withColumns({"_section": last("_heading", here), "_seen": last("_heading", above).isNotNull(), "_active": last("_opens", above)})
+    code = F.col("_t") == "system"
+    system = lambda c: last(F.when(c, F.col("_label")), here)
+    r = cut(r.withColumns({"_system_after": system(code | F.col("_short")), "_system": system(code | (F.col("_short") & F.col("_seen")))}))
+    at = F.struct(*order)
+    kept = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"].alias(c)
+    ends = r.groupBy(*document, "_block").agg(*map(kept, ("_heading", "_opens", "_system", "_system_after")))
+    before = Window.partitionBy(*document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_in_section": last("_heading", before), "_in_active": last("_opens", before)})
+    ends = ends.withColumn("_in_system", last(F.when(F.col("_in_section").isNotNull(), F.col("_system_after")).otherwise(F.col("_system")), before))
+    keys = [*document, "_block"]
+    inherited = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_in_section", "_in_active", "_in_system")
+    r = r.join(inherited, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]))
+    promoted = F.col("_short") & (F.col("_seen") | F.col("_in_section").isNotNull())
     typed = F.when(promoted, "system").otherwise(F.col("_t"))
-    part = F.coalesce("active", F.lit(False)) & ~amount & ~typed.isin("section", "system") & (F.concat(text("name"), text("type_mark")) != "")
-    r = r.withColumn("row_type", F.when(part, "component").otherwise(typed))
-    r = carry_down(r, document, "_block", order, {"system_name": (F.when(F.col("row_type") == "system", label), True)})
-    return r.fillna("", ["section_name", "system_name"]).drop("_t", "_block", "seen", "active")
+    part = F.coalesce("_active", "_in_active", F.lit(False)) & ~F.col("_amount") & ~typed.isin("section", "system") & (F.concat(text("name"), text("type_mark")) != "")
+    own_system = F.when(F.col("_in_section").isNotNull(), F.col("_system_after")).otherwise(F.col("_system"))
+    r = r.withColumns({"row_type": F.when(part, "component").otherwise(typed), "section_name": F.coalesce("_section", "_in_section", F.lit("")), "system_name": F.coalesce(own_system, "_in_system", F.lit(""))})
+    return r.select(*[c for c in rows.columns if c not in ("row_type", "section_name", "system_name")], "row_type", "section_name", "system_name")
 
 
 def row_confidence(confidences: str = "confidences") -> Column:
     """The mean confidence of the cells that hold text, to one decimal; 0 without any."""
     values = F.filter(F.array(*[F.when(strip(c) != "", F.try_element_at(F.col(confidences), F.lit(c))) for c in COLUMNS]), lambda v: v.isNotNull())
-    return F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values), 1)).otherwise(0.0)
+    return F.when(F.size(values) > 0, round1(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))).otherwise(0.0)
 
 
 def status(row_type: Column, conf: Column) -> Column:

@@ -1,7 +1,8 @@
 """Correction of words that are nearly words of a list.
 
-Distinct words are corrected once and joined back. Candidates share two neighbouring letters with the word,
-which every pair of the similarity asked for does, so the comparison is a hash join, not all against all.
+Distinct words are corrected once and joined back. Candidates share pairs of neighbouring letters with the word, as
+many as every pair of words of the similarity asked for does, so the comparison is a hash join with a count, not all
+against all, and the costly measure is taken of the few that are left.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specloom.functions.lexicon import entries
 from specloom.functions.text import CYRILLIC, LATIN, indel_ratio, match_case, strip
 from specloom.session import checked_broadcast, cut
 
@@ -17,6 +19,16 @@ DELIMITERS = r"\s,;:()\[\]{}/."
 CORRECTED = ("name", "note", "manufacturer")
 
 
+#: Similarity that a runner-up has at least if it is to be near the best: 5 less than the least a best one has.
+RUNNER_UP = 79
+
+
+def with_built_in(lexicon: DataFrame) -> DataFrame:
+    """The built-in lexicon, then the rows of ``lexicon``."""
+    own = lexicon.sparkSession.createDataFrame(entries(), "kind string, lex_key string, lex_value string, ordinal int")
+    return own.unionByName(lexicon.select("kind", "lex_key", "lex_value", (F.col("ordinal") + len(entries())).cast("int").alias("ordinal")))
+
+
 def words_of(c: Column) -> Column:
     """The pieces between delimiters, and the delimiters, in turn."""
     return F.regexp_extract_all(c, F.lit(rf"(?U)([{DELIMITERS}]+|[^{DELIMITERS}]+)"), F.lit(1))
@@ -44,11 +56,14 @@ def correct_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", e
     entry that comes first. Words of three letters or with digits, and short capitals, are left alone.
     """
     w = words.select(F.col(word).alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("form", candidate_form(F.col("word"))).where(F.col("form").isNotNull())
-    v = vocabulary.select(F.col(entry).alias("entry"), F.col(place).alias("place")).where(F.col("entry").isNotNull())
-    left = w.select("word", "form", F.explode(pairs_of(F.col("form"))).alias("pair"))
-    right = v.where(F.length("entry") > 1).select("entry", "place", F.explode(pairs_of(F.col("entry"))).alias("pair"))
-    near = F.abs(F.length("form") - F.length("entry")) <= F.greatest(F.length("form"), F.length("entry")) * 0.4
-    met = left.join(checked_broadcast(right), "pair").where(near).select("word", "form", "entry", "place").distinct()
+    v = vocabulary.select(F.col(entry).alias("entry"), F.col(place).alias("place")).where(F.length("entry") > 1).groupBy("entry").agg(F.min("place").alias("place"))
+    left = w.withColumn("own", pairs_of(F.col("form"))).select("word", "form", F.size("own").alias("own"), F.explode("own").alias("pair"))
+    right = v.withColumn("its", pairs_of(F.col("entry"))).select("entry", "place", F.size("its").alias("its"), F.explode("its").alias("pair"))
+    a, b = F.length("form"), F.length("entry")
+    common = F.ceil((a + b) * RUNNER_UP / 200)  # letters in common that the similarity asks for
+    met = left.join(checked_broadcast(right), "pair").where((common <= a) & (common <= b)).groupBy("word", "form", "entry", "place", "own", "its").agg(F.count("*").alias("shared"))
+    lost = lambda here, there: 2 * (here - common) + (there - common)  # noqa: E731 - a letter of one's own costs two pairs at most, one put between others a pair
+    met = met.where((F.col("shared") >= F.col("own") - lost(a, b)) & (F.col("shared") >= F.col("its") - lost(b, a)))
     scored = met.withColumn("score", indel_ratio(F.col("form"), F.col("entry")))
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("word", "form").orderBy(F.desc("score"), "place", "entry"))).where(F.col("r") <= 2)
     top = ranked.groupBy("word", "form").agg(F.max(F.when(F.col("r") == 1, F.struct("entry", "score"))).alias("a"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))

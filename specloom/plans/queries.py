@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specloom import schema
 from specloom.functions import text as fx
 from specloom.operators import cells, export, geometry, pages, review, rows, spelling
-from specloom.schema import CATALOG, COLUMNS, EXPORTED
+from specloom.schema import CATALOG, COLUMNS, EXPORTED, PASS_OF_COLUMN, column_scale
 from specloom.session import checked_broadcast, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +30,8 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 def recognize_rows(spark: SparkSession, d: str) -> DataFrame:
     """Tokens to result rows: buckets, cells, correction, choice, noise, rows, continuation, context, status."""
     tokens, grid = table(spark, d, "tokens"), table(spark, d, "page_grid")
-    found = rows.result_rows(cells.wide_rows(cells.read_cells(tokens, grid, lexicon=table(spark, d, "lexicon")), grid))
+    lexicon = spelling.with_built_in(table(spark, d, "lexicon"))
+    found = rows.result_rows(cells.wide_rows(cells.read_cells(tokens, grid, lexicon=lexicon), grid))
     return found.select("document_id", "row_id", "row_order", *COLUMNS, "section_name", "system_name", "row_type", "page", "confidence", "status", "source_row")
 
 
@@ -41,18 +43,40 @@ def token_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def candidate_top1(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "cell_results")
-    return cells.choose_reading(r, ["cell_id"], "ordinal").withColumn("confidence", F.round("confidence", 4))
+    r = cells.with_judged(table(spark, d, "cell_results"))
+    return cells.choose_reading(r, ["cell_id"], "ordinal", judged="judged").withColumn("confidence", F.round("confidence", 4))
 
 
 @query
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of page passes, then of column passes, numbered in that order within each cell and counted."""
+    """Candidates of page passes, then of column passes, numbered in that order within each cell."""
     t = cells.cell_texts(cells.bucket_tokens(table(spark, d, "tokens"), table(spark, d, "page_grid")))
-    page_passes = t.where(F.col("pass_name").startswith("page-")).withColumn("stage", F.lit(0))
-    column_passes = t.where(~F.col("pass_name").startswith("page-")).withColumn("stage", F.lit(1))
-    both = page_passes.unionByName(column_passes)
-    return both.groupBy("document_id", "page", "row_no", "col_no").agg(F.count("*").alias("candidates"), F.max("stage").alias("last_stage"), F.min("pass_ordinal").alias("first_pass"))
+    return cells.numbered_candidates(t).select("document_id", "page", "row_no", "col_no", "place", "pass_name", "text")
+
+
+@query
+def column_pass_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Words of names and marks as passes over these columns give them, in pixels of the enlarged column, placed in their cells again."""
+    tokens, grid = table(spark, d, "tokens"), table(spark, d, "page_grid")
+    keys = {1: "name", 2: "type_mark", 6: "quantity"}
+    placed = cells.bucket_tokens(tokens, grid).where(F.col("col_no").isin(*keys))
+    top = grid.select("document_id", "page", F.get("y_lines", F.lit(2)).alias("top_line"))
+    passes = spark.createDataFrame([(i, PASS_OF_COLUMN + k, column_scale(k)) for i, k in keys.items()], "col_no int, pass_of string, scale double")
+    enlarged = placed.join(F.broadcast(passes), "col_no").join(checked_broadcast(top), ["document_id", "page"])
+    enlarged = enlarged.withColumn("top_px", F.round((F.col("top_px") - F.col("top_line")) * F.col("scale")).cast("int")).withColumn("height_px", F.round(F.col("height_px") * F.col("scale")).cast("int"))
+    words = enlarged.withColumn("pass_name", F.col("pass_of")).drop("row_no", "col_no", "pass_of", "scale", "top_line")
+    return cells.cell_texts(cells.column_pass_tokens(words, grid)).select("document_id", "page", "row_no", "col_no", "pass_ordinal", "text")
+
+
+@query
+def reading_plan(spark: SparkSession, d: str) -> DataFrame:
+    """How each column is read: languages, enlargement and characters of all passes, with the readings there are from them."""
+    plan = spark.createDataFrame([r for accurate in (True, False) for r in schema.reading_plan(accurate)], "pass_name string, pass_ordinal int, column_key string, language string, layout int, scale double, allowed string")
+    plan = plan.dropDuplicates(["pass_name", "column_key"])
+    n = table(spark, d, "cell_results").groupBy(F.col("source").alias("pass_name"), "column_key").agg(F.count("*").alias("readings"))
+    of = F.broadcast(plan.select(F.col("pass_name").alias("p"), F.col("column_key").alias("k"), "language", "layout", "scale", "allowed"))  # a row per pass and column
+    joined = n.join(of, (F.col("p") == F.col("pass_name")) & (F.col("k").isNull() | (F.col("k") == F.col("column_key"))), "left")
+    return joined.select("pass_name", "column_key", "language", "layout", "scale", "allowed", "readings")
 
 
 @query
@@ -78,7 +102,7 @@ def numeric_fallback(spark: SparkSession, d: str) -> DataFrame:
 def back_fill(spark: SparkSession, d: str) -> DataFrame:
     """Missing units and quantities of raw rows, filled from the chosen readings of their cells."""
     again = table(spark, d, "cell_results").where(F.col("column_key").isin("unit", "quantity"))
-    best = cells.choose_reading(again, ["document_id", "page", "source_row", "column_key"], "ordinal")
+    best = cells.choose_reading(cells.with_judged(again), ["document_id", "page", "source_row", "column_key"], "ordinal", judged="judged")
     of = lambda k, c: F.max(F.when(F.col("column_key") == k, F.col(c)))
     wide = best.groupBy("document_id", "page", "source_row").agg(of("unit", "text").alias("unit_again"), of("unit", "confidence").alias("unit_confidence"), of("quantity", "text").alias("quantity_again"))
     raw = table(spark, d, "raw_rows").select("raw_id", "document_id", "page", "source_row", *[fx.text(c).alias(c) for c in ("name", "type_mark", "manufacturer", "unit", "quantity")])
@@ -99,6 +123,24 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_rows").select("raw_id", *[fx.clean_text(c).alias(c) for c in ("name", "type_mark", "unit", "note")])
 
 
+@query
+def clean_text_compat(spark: SparkSession, d: str) -> DataFrame:
+    """The same with шт and компл shortened inside longer words too."""
+    return table(spark, d, "raw_rows").select("raw_id", *[fx.clean_text(c, compat=True).alias(c) for c in ("name", "type_mark", "unit", "note")])
+
+
+@query
+def normalize_cells(spark: SparkSession, d: str) -> DataFrame:
+    """All nine columns of the raw rows by the rules of each, spelling apart."""
+    return table(spark, d, "raw_rows").select("raw_id", *[fx.normalize_cell(c, c).alias(c) for c in COLUMNS])
+
+
+@query
+def letter_case(spark: SparkSession, d: str) -> DataFrame:
+    """The maker in the letter case of the name."""
+    return table(spark, d, "raw_rows").select("raw_id", fx.match_case(fx.text("name"), F.lower(fx.text("manufacturer"))).alias("manufacturer"))
+
+
 @query
 def normalize_units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_rows").select("raw_id", fx.unit_text(fx.text("unit")).alias("unit"))
@@ -112,13 +154,30 @@ def numeric_cast(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def plausibility(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cell_results").select("result_id", F.round(fx.plausibility(F.col("column_key"), fx.text("text")), 4).alias("plausibility"))
+    """Judged by the text normalised by its column."""
+    r = cells.with_judged(table(spark, d, "cell_results"))
+    return r.select("result_id", F.round(fx.plausibility(F.col("column_key"), fx.text("judged")), 4).alias("plausibility"))
+
+
+@query
+def look_alikes(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct words of names that spelling correction compares, in the form that is compared."""
+    words = table(spark, d, "raw_rows").select(F.explode(spelling.words_of(fx.text("name"))).alias("word")).distinct()
+    return words.select("word", spelling.candidate_form(F.col("word")).alias("form")).where(F.col("form").isNotNull())
+
+
+@query
+def indel_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the title and the filename of each document are."""
+    return table(spark, d, "doc_meta").select("document_id", F.round(fx.indel_ratio(fx.text("title"), fx.text("filename")), 6).alias("ratio"))
 
 
 @query
 def fuzzy_correct(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "raw_rows").select(F.explode(spelling.words_of(fx.text("name"))).alias("word"))
-    vocabulary = table(spark, d, "lexicon").where(F.col("kind") == "word").select(F.col("lex_key").alias("entry"), "ordinal")
+    """Distinct words of names, notes and makers that are nearly words of the lexicon."""
+    texts = F.array(*[fx.text(c) for c in spelling.CORRECTED])
+    words = table(spark, d, "raw_rows").select(F.explode(texts).alias("text")).distinct().select(F.explode(spelling.words_of(F.col("text"))).alias("word"))
+    vocabulary = spelling.with_built_in(table(spark, d, "lexicon")).where(F.col("kind") == "word").select(F.col("lex_key").alias("entry"), "ordinal")
     return spelling.correct_words(words, vocabulary)
 
 
@@ -126,7 +185,7 @@ def fuzzy_correct(spark: SparkSession, d: str) -> DataFrame:
 def correct_texts(spark: SparkSession, d: str) -> DataFrame:
     """The corrected texts of names, notes and makers."""
     texts = table(spark, d, "raw_rows").unpivot("raw_id", list(spelling.CORRECTED), "column_key", "text")
-    return spelling.correct_texts(texts, "text", table(spark, d, "lexicon"))
+    return spelling.correct_texts(texts, "text", spelling.with_built_in(table(spark, d, "lexicon")))
 
 
 @query
@@ -158,7 +217,9 @@ def context_carry(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def result_summary(spark: SparkSession, d: str) -> DataFrame:
-    return review.summary(table(spark, d, "result_rows"))
+    """Result rows by status and type, and the pages with readings on which no table was found."""
+    lost = table(spark, d, "cell_results").select("document_id", "page").join(table(spark, d, "page_grid").select("document_id", "page"), ["document_id", "page"], "left_anti")
+    return review.summary(table(spark, d, "result_rows"), lost)
 
 
 @query
@@ -166,9 +227,19 @@ def review_counters(spark: SparkSession, d: str) -> DataFrame:
     return review.counters(table(spark, d, "result_rows"), "document_id")
 
 
+#: Row type, status and search of the filters of review_filter.
+FILTERS = [("item", "review", "Клапан"), ("component", None, None), (None, "edited", None), (None, None, "ГОСТ"), ("section", "recognized", ""), (None, "verified", "сталь"), ("item", None, "мм"), (None, None, "98")]
+
+
 @query
 def review_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "result_rows").where(review.review_filter("item", "review", "Клапан")).select("row_id")
+    return review.review_filters(table(spark, d, "result_rows"), FILTERS, "row_id")
+
+
+@query
+def rows_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The raw rows that reviewers gave a maker for."""
+    return review.rows_by_id(table(spark, d, "raw_rows"), table(spark, d, "maker_edits"), "raw_id").select("raw_id", "document_id", "page", "source_row")
 
 
 @query
@@ -199,6 +270,25 @@ def export_rows(spark: SparkSession, d: str) -> DataFrame:
     return export.with_numbers(export.export_rows(table(spark, d, "result_rows"), EXPORTED, keep=("row_order",)))
 
 
+@query
+def export_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Exported rows under the titles of their columns."""
+    return export.with_titles(export.export_rows(table(spark, d, "result_rows"), EXPORTED, keep=("row_order",)))
+
+
+@query
+def export_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Columns in an order of their own, one unknown, one repeated, and rows that weren't deselected whatever their type."""
+    return export.with_numbers(export.export_rows(table(spark, d, "result_rows"), ("quantity", "name", "nosuch", "quantity"), only_exportable=False, keep=("row_order",)))
+
+
+@query
+def column_order(spark: SparkSession, d: str) -> DataFrame:
+    """The columns by how many readings they have, then the others."""
+    n = table(spark, d, "cell_results").groupBy("column_key").agg((-F.count("*")).alias("place"))
+    return export.column_order_of(n, "column_key", "place")
+
+
 @query
 def export_metadata(spark: SparkSession, d: str) -> DataFrame:
     return export.export_metadata(table(spark, d, "result_rows"))
@@ -236,11 +326,13 @@ def footer_trim(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_geometry(spark: SparkSession, d: str) -> DataFrame:
-    """Outer lines of the table as shares of the page, and a crop of its middle in pixels."""
+    """Outer lines of the table as shares of the page, and the crop that these shares stand for, widened, in pixels."""
     g = table(spark, d, "page_grid")
-    crop = geometry.expand_crop(F.lit(0.25), F.lit(0.25), F.lit(0.5), F.lit(0.5), F.col("image_width"), F.col("image_height"))
     share = lambda a, b: F.round(a / F.col(b), 6)
-    return g.select("document_id", "page", share(F.get("x_lines", F.lit(0)), "image_width").alias("x0"), share(F.element_at("x_lines", -1), "image_width").alias("x1"), share(F.get("y_lines", F.lit(0)), "image_height").alias("y0"), share(F.element_at("y_lines", -1), "image_height").alias("y1"), crop.alias("c")).select("document_id", "page", "x0", "x1", "y0", "y1", "c.*")
+    first, last = lambda c: F.get(c, F.lit(0)), lambda c: F.element_at(c, -1)
+    g = g.select("document_id", "page", "image_width", "image_height", share(first("x_lines"), "image_width").alias("x0"), share(last("x_lines"), "image_width").alias("x1"), share(first("y_lines"), "image_height").alias("y0"), share(last("y_lines"), "image_height").alias("y1"))
+    crop = geometry.expand_crop(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("image_width"), F.col("image_height"))
+    return g.select("document_id", "page", "x0", "x1", "y0", "y1", crop.alias("c")).select("document_id", "page", "x0", "x1", "y0", "y1", "c.*")
 
 
 @query
@@ -258,8 +350,11 @@ def page_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_problems(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "doc_meta").withColumn("page_count", F.coalesce("page_count", F.lit(0)))
-    return m.select("document_id", pages.page_problem(F.lit("1, 3-2, 9"), F.col("page_count")).alias("problem"))
+    """What is wrong with the pages of its result rows as an expression, first in a document of one page less than its last, then in one of all pages."""
+    r = pages.compact_pages(table(spark, d, "result_rows"), "document_id")
+    last = table(spark, d, "result_rows").groupBy("document_id").agg(F.max("page").alias("last"))
+    both = r.join(last, "document_id").select("document_id", "ranges", F.explode(F.array(F.col("last") - 1, F.col("last"))).alias("page_count"))
+    return both.select("document_id", "page_count", pages.page_problem(F.col("ranges"), F.col("page_count")).alias("problem"))
 
 
 @query

@@ -26,6 +26,7 @@ CATALOG = (
     ("confidence", "Уверенность, %", 17),
     ("status", "Статус", 18),
 )
+#: Fixed values. The columns exported by default; row types, those that aren't exported, and statuses.
 EXPORTED = ("name", "type_mark", "manufacturer", "unit", "quantity", "note")
 NUMERIC = ("quantity", "mass")
 ROW_TYPES = ("item", "component", "section", "system", "note", "skip")
@@ -41,6 +42,40 @@ SECTION_STEMS = ("вентиляц", "кондиционир", "отоплен",
 WIDTH_RATIOS = (0.051, 0.329, 0.152, 0.089, 0.111, 0.051, 0.051, 0.061, 0.105)
 
 
+#: Fixed values. How a page is read: pass, languages, page layout, enlargement, characters allowed; and the columns read enlarged by less.
+PASS_OF_COLUMN = "accurate-column-"
+PAGE_PASSES = (("page-mixed", "rus+eng"), ("page-rus", "rus"))
+WIDE_COLUMNS = ("name", "type_mark", "manufacturer", "note")
+WHITELIST = {"quantity": "0123456789.,-", "mass": "0123456789.,-", "unit": "штмкгкомпл.²³-п"}
+
+
+def column_scale(key: str) -> float:
+    """Fixed values. By how much a column is enlarged before it is read."""
+    return 1.55 if key in WIDE_COLUMNS else 2.0
+
+
+def cell_scale(key: str) -> float:
+    """Fixed values. By how much a single cell is enlarged before it is read."""
+    return 4.5 if key in ("unit", "quantity", "mass", "position_no") else 3.0
+
+
+def language_of(key: str) -> str:
+    """Fixed values. The languages a column is read in."""
+    return "eng" if key in NUMERIC else "rus" if key == "unit" else "rus+eng" if key in ("name", "note") else "eng+rus"
+
+
+def reading_plan(accurate: bool = True) -> list[tuple[str, int, str | None, str, int, float, str | None]]:
+    """pass_name, pass_ordinal, column_key, language, layout, scale, allowed: all passes over a page, then over columns, then over a single cell."""
+    plan: list[tuple[str, str | None, str, int, float, str | None]] = [(name, None, language, 6, 1.0, None) for name, language in PAGE_PASSES]
+    if accurate:
+        plan += [(PASS_OF_COLUMN + k, k, language_of(k), 11, column_scale(k), None) for k in COLUMNS]
+    mode = "accurate" if accurate else "standard"
+    for k in COLUMNS:
+        tries = 2 if accurate and k in WIDE_COLUMNS else 1
+        plan += [(f"cell-{mode}-{i}", k, language_of(k), 6 if k in ("name", "note") else 7, cell_scale(k), WHITELIST.get(k)) for i in range(1, tries + 1)]
+    return [(name, i, *rest) for i, (name, *rest) in enumerate(plan)]
+
+
 @dataclass(frozen=True)
 class Profile:
     """A kind of sheet: its columns, where its rows begin, what counts as a table."""

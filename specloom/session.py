@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,14 +72,38 @@ def collect_bounded(df: DataFrame, limit: int = LOOKUP_ROWS, what: str = "lookup
     return rows
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share its folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir if it names one; a local folder only where none is set."""
+    """The cluster's spark.checkpoint.dir; a folder of this machine only where the session is local and names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or (Path(tempfile.gettempdir()) / f"specloom-{uuid.uuid4().hex}").as_uri())
 
 
+_FILES: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Gives the executors a file of the driver, once per application; one that the driver lacks is taken to lie where the executors are."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _FILES and os.path.exists(path):
+        sc.addFile(path)
+        _FILES.add((sc.applicationId, path))
+
+
+def shipped(path: str) -> str:
+    """Where a file is for this process: at its path, or where ship_file put it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder and read back.
 

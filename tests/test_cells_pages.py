@@ -36,6 +36,33 @@ def test_choice(spark):
     assert got == {1: ("шт.", "page-mixed"), 2: ("", "none"), 3: ("один", "a")}
 
 
+def test_column_passes(spark):
+    """Heights of an enlarged column are scaled back; a centre on a line is above it."""
+    from specloom.schema import Profile
+
+    g = grid(spark, [0, 10, 20], [0, 20, 40, 60])
+    base = tokens(spark, [(1, 10, 5, 42, 90.0, "a"), (1, 31, 5, 0, 80.0, "b"), (1, 62, 5, 0, 80.0, "c"), (1, 200, 5, 2, 80.0, "out"), (1, 0, 5, 4, 80.0, " ")])
+    t = base.withColumn("pass_name", F.lit("accurate-column-name"))
+    got = {r["text"]: (r["row_no"], r["col_no"]) for r in cells.column_pass_tokens(t, g, Profile(header_rows=1, columns=("position_no", "name"))).collect()}
+    assert got == {"a": (1, 1), "b": (1, 1), "c": (2, 1)}  # 20 + 31 / 1.55 = 40: the line itself
+    assert cells.column_pass_tokens(base, g).count() == 0
+
+
+def test_cells_read_again(spark):
+    """A number that is none is always read again, doubtful cells within the budget, and amounts are filled."""
+    from specloom.schema import Profile
+
+    xs, ys = [0, 10, 20, 30], [0, 20, 40, 60]
+    g = grid(spark, xs, ys)
+    first = tokens(spark, [(1, 2, 5, 8, 40.0, "Клпн"), (11, 2, 5, 8, 90.0, "1-2"), (1, 22, 5, 8, 99.0, "Отвод"), (11, 22, 5, 8, 99.0, "5"), (1, 42, 5, 8, 10.0, "Щтт")])
+    again = tokens(spark, [(1, 2, 5, 8, 95.0, "Клапан"), (11, 2, 5, 8, 80.0, "12"), (1, 22, 5, 8, 99.9, "Отвоз"), (21, 22, 5, 8, 80.0, "шт"), (1, 42, 5, 8, 90.0, "Щит")]).withColumn("pass_name", F.lit("cell-accurate-1")).withColumn("pass_ordinal", F.lit(9))
+    of = lambda n, accurate: {(r["row_no"], r["column_key"]): r["text"] for r in cells.read_cells(first.unionByName(again), g, Profile(header_rows=0, columns=("name", "quantity", "unit"), refinements=n), accurate=accurate).collect()}
+    assert of(8, True) == {(0, "name"): "Клапан", (0, "quantity"): "12", (1, "name"): "Отвод", (1, "quantity"): "5", (1, "unit"): "шт.", (2, "name"): "Щит"}
+    assert of(1, True)[2, "name"] == "Щтт"
+    assert of(8, False)[0, "name"] == "Клпн"
+    assert of(8, False)[0, "quantity"] == "12"
+
+
 def test_noise_and_doubt(spark):
     df = spark.createDataFrame([("name", "|", 50.0), ("name", "|", 80.0), ("unit", "zz", 99.0), ("quantity", "0", 10.0), ("position_no", "--", 90.0)], "k string, t string, c double")
     assert [r[0] for r in df.select(cells.remove_noise(F.col("k"), F.col("t"), F.col("c"))).collect()] == ["", "|", "", "0", ""]
@@ -106,6 +133,11 @@ def test_export_and_review(spark, tmp_path):
     df = spark.createDataFrame([("Отвод\tА", "шт.", "12,5", "item", True, "review"), ("Раздел", "", "", "section", None, "review"), ("Лист", "м", "x", "item", False, "edited"), ("", "", "", "item", None, "recognized")], "name string, unit string, quantity string, row_type string, selected boolean, status string")
     out = export.with_numbers(export.export_rows(df, ["name", "unit", "quantity", "nosuch"]))
     assert [tuple(r) for r in out.collect()] == [("Отвод\tА", "шт.", 12.5, None)]
+    dash = spark.createDataFrame([("", "-", "item"), ("", "1-2", "item"), ("", "7", "section"), (None, None, None)], "name string, quantity string, row_type string").withColumn("selected", F.lit(None).cast("boolean"))
+    both = export.with_numbers(export.export_rows(dash, ["quantity", "name", "quantity"]))
+    assert both.columns == ["quantity", "name", "quantity_2", "quantity_text", "quantity_2_text"]
+    assert [tuple(r) for r in both.collect()] == [(None, "", None, "1-2", "1-2")]
+    assert export.with_titles(export.export_rows(dash, ["quantity"], only_exportable=False)).columns == ["Количество"]
     assert df.select(export.tsv_line(["name", "unit"])).first()[0] == "Отвод А\tшт."
     with pytest.raises(ValueError):
         export.known_columns(["nosuch"])
