@@ -21,6 +21,8 @@ CORRECTED = ("name", "note", "manufacturer")
 
 #: Similarity that a runner-up has at least if it is to be near the best: 5 less than the least a best one has.
 RUNNER_UP = 79
+#: Similarity from which a text is taken for a phrase.
+PHRASE = 91
 
 
 def with_built_in(lexicon: DataFrame) -> DataFrame:
@@ -49,6 +51,11 @@ def threshold(c: Column) -> Column:
     return F.when(F.length(c) <= 4, 93).when(F.length(c) <= 7, 88).otherwise(84)
 
 
+def lost(here: Column, there: Column, common: Column) -> Column:
+    """How many of its pairs a text of ``here`` letters can lack in one of ``there`` letters that has ``common`` in common: a letter of its own costs two at most, one put between others a pair."""
+    return 2 * (here - common) + (there - common)
+
+
 def correct_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", entry: str = "entry", place: str = "ordinal") -> DataFrame:
     """word, corrected, score: distinct words that are near enough to one entry and clearly nearer than to any other.
 
@@ -62,9 +69,9 @@ def correct_words(words: DataFrame, vocabulary: DataFrame, word: str = "word", e
     a, b = F.length("form"), F.length("entry")
     common = F.ceil((a + b) * RUNNER_UP / 200)  # letters in common that the similarity asks for
     met = left.join(checked_broadcast(right), "pair").where((common <= a) & (common <= b)).groupBy("word", "form", "entry", "place", "own", "its").agg(F.count("*").alias("shared"))
-    lost = lambda here, there: 2 * (here - common) + (there - common)  # noqa: E731 - a letter of one's own costs two pairs at most, one put between others a pair
-    met = met.where((F.col("shared") >= F.col("own") - lost(a, b)) & (F.col("shared") >= F.col("its") - lost(b, a)))
-    scored = met.withColumn("score", indel_ratio(F.col("form"), F.col("entry")))
+    met = met.where((F.col("shared") >= F.col("own") - lost(a, b, common)) & (F.col("shared") >= F.col("its") - lost(b, a, common)))
+    spread = met.repartition(met.sparkSession.sparkContext.defaultParallelism, "word", "form")  # few bytes but much to compute; serves the window too
+    scored = spread.withColumn("score", indel_ratio(F.col("form"), F.col("entry")))
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("word", "form").orderBy(F.desc("score"), "place", "entry"))).where(F.col("r") <= 2)
     top = ranked.groupBy("word", "form").agg(F.max(F.when(F.col("r") == 1, F.struct("entry", "score"))).alias("a"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("second"))
     sure = (F.col("a.score") >= threshold(F.col("form"))) & ((F.col("a.score") - F.col("second") >= 5) | (F.col("a.score") >= 96))
@@ -82,7 +89,7 @@ def correct_texts(df: DataFrame, value: str, lexicon: DataFrame, of: Column | No
     of = F.lit(True) if of is None else of
     texts = cut(df.where(of & (F.col(value) != "")).select(F.col(value).alias("text")).distinct())
     pieces = texts.select("text", F.posexplode(words_of(F.col("text"))).alias("i", "piece"))
-    words = pieces.where(F.col("piece").rlike("[A-Za-zА-Яа-яЁё]")).select(F.col("piece").alias("word")).distinct()
+    words = cut(pieces.where(F.col("piece").rlike("[A-Za-zА-Яа-яЁё]")).select(F.col("piece").alias("word")).distinct())
     near = correct_words(words, lexicon.where(F.col("kind") == "word").select(F.col("lex_key").alias("entry"), "ordinal")).select("word", "corrected")
     exact = lexicon.where(F.col("kind") == "exact").groupBy(F.lower("lex_key").alias("low")).agg(F.min_by("lex_value", "ordinal").alias("exact"))
     both = words.join(near, "word", "left").join(checked_broadcast(exact), F.lower("word") == F.col("low"), "left")
@@ -90,9 +97,14 @@ def correct_texts(df: DataFrame, value: str, lexicon: DataFrame, of: Column | No
     put = pieces.join(checked_broadcast(cut(new)), F.col("piece") == F.col("word"), "left").select("text", F.struct("i", F.coalesce("new", "piece").alias("piece")).alias("p"))
     spelt = cut(put.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("spelt")).withColumn("low", F.lower(strip("spelt"))))
     phrases = lexicon.where(F.col("kind") == "phrase").select(F.lower("lex_key").alias("phrase"), "ordinal").where(F.length("phrase") > 0)
-    phrases = phrases.withColumn("size", F.explode(F.sequence(F.length("phrase") - 5, F.length("phrase") + 5)))
-    alike = spelt.where(F.col("low").rlike(r"(?U)\S\s+\S")).join(checked_broadcast(phrases), F.length("low") == F.col("size"))
-    alike = alike.where(~F.contains("low", "phrase")).where(indel_ratio(F.col("low"), F.col("phrase")) >= 91).groupBy("text").agg(F.min(F.struct("ordinal", "phrase")).alias("first"))
+    phrases = phrases.withColumn("its", pairs_of(F.col("phrase"))).withColumn("size", F.explode(F.sequence(F.greatest(F.lit(2), F.length("phrase") - 5), F.length("phrase") + 5)))
+    several = spelt.where(F.col("low").rlike(r"(?U)\S\s+\S")).withColumn("own", pairs_of(F.col("low")))
+    alike = several.join(checked_broadcast(cut(phrases)), F.length("low") == F.col("size")).where(~F.contains("low", "phrase"))
+    a, b = F.length("low"), F.length("phrase")
+    common = F.ceil((a + b) * PHRASE / 200)
+    shared = F.size(F.array_intersect("own", "its"))
+    alike = alike.where((shared >= F.size("own") - lost(a, b, common)) & (shared >= F.size("its") - lost(b, a, common)))
+    alike = alike.where(indel_ratio(F.col("low"), F.col("phrase")) >= PHRASE).groupBy("text").agg(F.min(F.struct("ordinal", "phrase")).alias("first"))
     whole = spelt.join(alike, "text", "left").withColumn("new", F.coalesce(match_case(F.col("spelt"), F.col("first.phrase")), "spelt"))
     fixed = whole.select(F.col("text").alias("_text"), F.regexp_replace("new", r"\.{2,}", ".").alias("_new")).where(F.col("_new") != F.col("_text"))
     return df.join(checked_broadcast(cut(fixed)), of & (F.col(value) == F.col("_text")), "left").withColumn(value, F.coalesce("_new", value)).drop("_text", "_new")
