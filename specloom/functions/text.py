@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.schema import COLUMNS, NUMERIC, UNITS
+from specloom.session import cut
 
 W = r"[\p{L}\p{N}_]"
 #: Fixed values. A word that reads as ГОСТ in any mix of alphabets and digits.
@@ -74,9 +75,19 @@ PROPER_NAME, ZEROS = (r"(?iU)нахимобскии", "Нахимовский"),
 CLOSING = (r"(?iU)\bвозд\.\s*Клапана\b", "возд.клапана")
 
 
+#: What a text that a step of clean_text changes holds at least; most texts hold nothing of it and are spared the steps.
+UNCLEAN = rf"(?U)[\u00a0\u2014\u2013\u00ad\ufb01\ufb02\t\n$§]|  |\.\.|[”\"»]:|[xXхХ]\s*\d|[мМ]\s*[23]|[шШ][тТ]|[кК][оО][мМ][пП][лЛ]|{GOST}|^[ |_]|[ |_]$"
+
+
 def clean_text(c: Column | str, compat: bool = False) -> Column:
     """Blanks, dashes, signs and common abbreviations in one form. compat: шт and компл also inside longer words."""
-    s = F.translate(text(c), "\u00a0\u2014\u2013\u00ad", " --")
+    t = text(c)
+    return F.when(t.rlike(UNCLEAN), clean_steps(t, compat)).otherwise(t)
+
+
+def clean_steps(t: Column, compat: bool = False) -> Column:
+    """All steps of clean_text, whether a text needs them or not."""
+    s = F.translate(t, "\u00a0\u2014\u2013\u00ad", " --")
     s = F.replace(F.replace(s, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     s = each(s, [(p.replace(EDGE, "" if compat else rf"(?!{W})"), to) for p, to in CLEAN_RULES])
     return F.regexp_replace(s, r"^[ \n|_]+|[ \n|_]+$", "")
@@ -123,7 +134,11 @@ def column_rules(key: str, s: Column, closing: bool = True) -> Column:
         s = numeric_text(s)
     if key == "unit":
         s = unit_text(s)
-    return F.regexp_replace(s, *CLOSING) if closing else s
+    return close(s) if closing else s
+
+
+def close(s: Column) -> Column:
+    return F.when(F.contains(F.lower(s), F.lit("возд")), F.regexp_replace(s, *CLOSING)).otherwise(s)
 
 
 def normalize_by_key(df: DataFrame, key: str, value: str, correct: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -142,9 +157,9 @@ def normalize_by_key(df: DataFrame, key: str, value: str, correct: Callable[[Dat
     clean = df.withColumn("_clean", clean_text(value))
     if correct is not None:
         first = [k for k in keys if k in ("name", "note")]
-        clean = correct(clean.withColumn("_clean", ruled(first)), "_clean")
+        clean = correct(cut(clean.withColumn("_clean", ruled(first))), "_clean")
         keys = [k for k in keys if k not in first]
-    return clean.withColumn("_clean", ruled(keys)).withColumn(value, F.regexp_replace("_clean", *CLOSING)).drop("_clean")
+    return clean.withColumn("_clean", ruled(keys)).withColumn(value, close(F.col("_clean"))).drop("_clean")
 
 
 def plausibility(key: Column, value: Column) -> Column:

@@ -144,36 +144,43 @@ def is_again(source: Column) -> Column:
     return source.startswith("cell-")
 
 
-def read_again(cells: DataFrame, again: DataFrame, by: list[str], accurate: bool, profile: Profile = Profile()) -> DataFrame:
-    """cells (by, column_key, text, confidence, source) with second readings of the doubtful ones taken into account.
-
-    A number that is none is always read again; in accurate mode so are the first doubtful cells of each page, in the order
-    of rows and columns, up to the budget. The first reading and the second one then compete. Cells without a second
-    reading stay. again: the same columns, one row a cell.
-    """
+def doubtful_cells(cells: DataFrame, by: list[str], accurate: bool, profile: Profile = Profile()) -> DataFrame:
+    """by, column_key of the cells that are read again for their text: numbers that are none, and in accurate mode the first doubtful cells of each page, in the order of rows and columns, up to the budget."""
     key, value = F.col("column_key"), F.col("text")
-    if accurate:
-        place = F.array_position(F.array(*[F.lit(c) for c in profile.columns]), key)
-        flagged = cells.withColumn("doubtful", doubtful(key, value, F.col("confidence"), profile.thresholds)).withColumn("place", place)
-        turns = refinement_budget(flagged, ["row_no", "place"], PAGE, profile.refinements).select(*by, "column_key", F.lit(True).alias("turn"))
-        cells = cells.join(turns, [*by, "column_key"], "left")
-    else:
-        cells = cells.withColumn("turn", F.lit(False))
-    wanted = cells.where(needs_number(key, value) | F.coalesce("turn", F.lit(False))).select(*by, "column_key")
-    second = again.join(wanted, [*by, "column_key"], "left_semi").withColumn("ordinal", F.lit(1))
-    both = cells.drop("turn").withColumn("ordinal", F.lit(0)).unionByName(second)
-    return choose_reading(both, [*by, "column_key"], "ordinal")
+    numbers = cells.where(needs_number(key, value)).select(*by, "column_key")
+    if not accurate:
+        return numbers
+    place = F.array_position(F.array(*[F.lit(c) for c in profile.columns]), key)
+    flagged = cells.withColumn("doubtful", doubtful(key, value, F.col("confidence"), profile.thresholds)).withColumn("place", place)
+    return numbers.unionByName(refinement_budget(flagged, ["row_no", "place"], PAGE, profile.refinements).select(*by, "column_key")).distinct()
 
 
-def fill_amounts(cells: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
-    """cells with a missing unit beside a quantity, or a missing quantity beside a unit, filled from second readings, in rows that name something."""
+def missing_amounts(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, column_key of missing units beside a quantity and missing quantities beside a unit, in rows that name something."""
     of = lambda k: F.max(F.when(F.col("column_key") == k, F.col("text")))
     held = cells.groupBy(*by).agg(*[F.coalesce(of(k), F.lit("")).alias(k) for k in ("name", "type_mark", "manufacturer", "unit", "quantity")])
     has = lambda k: F.col(k) != ""
-    second = again.where(F.col("column_key").isin("unit", "quantity") & (F.col("text") != "")).join(held.where((has("name") | has("type_mark") | has("manufacturer")) & (has("unit") | has("quantity")) & ~(has("unit") & has("quantity"))), by)
-    unit = second.where((F.col("column_key") == "unit") & has("quantity"))
-    unit = unit.withColumn("text", remove_noise(F.lit("unit"), F.col("text"), F.col("confidence"))).withColumn("confidence", F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0))
-    new = unit.unionByName(second.where((F.col("column_key") == "quantity") & has("unit"))).select(*by, "column_key", "text", "confidence", "source")
+    lacks = F.when(has("quantity") & ~has("unit"), "unit").when(has("unit") & ~has("quantity"), "quantity")
+    return held.where(has("name") | has("type_mark") | has("manufacturer")).select(*by, lacks.alias("column_key")).where(F.col("column_key").isNotNull())
+
+
+def wanted_again(cells: DataFrame, accurate: bool = True, profile: Profile = Profile()) -> DataFrame:
+    """document_id, page, row_no, column_key of all cells for which a reader of words is to be asked again."""
+    by = [*PAGE, "row_no"]
+    return doubtful_cells(cells, by, accurate, profile).unionByName(missing_amounts(cells, by)).distinct()
+
+
+def read_again(cells: DataFrame, again: DataFrame, by: list[str], accurate: bool, profile: Profile = Profile()) -> DataFrame:
+    """cells (by, column_key, text, confidence, source) with second readings of the doubtful ones: both readings compete. Cells without a second reading stay. again: the same columns, one row a cell."""
+    second = again.join(doubtful_cells(cells, by, accurate, profile), [*by, "column_key"], "left_semi").withColumn("ordinal", F.lit(1))
+    return choose_reading(cells.withColumn("ordinal", F.lit(0)).unionByName(second), [*by, "column_key"], "ordinal")
+
+
+def fill_amounts(cells: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """cells with missing_amounts filled from second readings, units without their noise."""
+    new = again.where(F.col("text") != "").join(missing_amounts(cells, by), [*by, "column_key"], "left_semi")
+    value = F.when(F.col("column_key") == "unit", remove_noise(F.col("column_key"), F.col("text"), F.col("confidence"))).otherwise(F.col("text"))
+    new = new.withColumn("text", value).withColumn("confidence", F.when(F.col("text") != "", F.col("confidence")).otherwise(0.0)).select(*by, "column_key", "text", "confidence", "source")
     return cells.join(new.select(*by, "column_key"), [*by, "column_key"], "left_anti").unionByName(new)
 
 
@@ -188,7 +195,6 @@ def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(),
     cells = cell_texts(bucket_tokens(tokens, grid, profile)).withColumn("column_key", key_of(F.col("col_no"), profile))
     correct = None
     if lexicon is not None:
-        cells = cut(cells)
         correct = lambda df, value: correct_texts(df, value, lexicon, F.col("column_key").isin(*CORRECTED))
     normal = cut(normalize_by_key(cells, "column_key", "text", correct).withColumnRenamed("pass_name", "source"))
     best = choose_reading(normal.where(~is_again(F.col("source"))), [*by, "column_key"], "pass_ordinal")

@@ -1,16 +1,11 @@
-"""Where documents come from: files, token tables and providers of what only other software can do."""
+"""Where documents come from: files, images of their pages, tables of words."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specloom.functions.text import strip
-from specloom.operators.geometry import horizontal_candidates, line_masks, vertical_candidates
 
 #: Largest file taken in.
 MOST_BYTES = 250 * 1024 * 1024
@@ -21,14 +16,8 @@ TOKENS = (
 )
 
 
-class PageReader(Protocol):
-    """Reads a page's words; runs in the executors."""
-
-    def words(self, image: bytes) -> pd.DataFrame: ...
-
-
-def pdf_files(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
-    """document_id, filename, title, size_bytes, problem of every .pdf below a folder; contents aren't read.
+def pdf_files(spark: SparkSession, folder: str, most: int = MOST_BYTES, contents: bool = False) -> DataFrame:
+    """document_id, filename, title, size_bytes, problem, path of every .pdf below a folder; contents are read only if asked for, and not of files that are too large.
 
     The title is the file's name without its ending. problem names files that are too large.
     """
@@ -40,39 +29,17 @@ def pdf_files(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataF
         F.regexp_replace(name, r"\.[^.]*$", "").alias("title"),
         F.col("length").alias("size_bytes"),
         F.when(F.col("length") > most, f"larger than {most} bytes").alias("problem"),
+        "path",
+        *([F.when(F.col("length") <= most, F.col("content")).alias("content")] if contents else []),
     )
 
 
 def page_images(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, page, content of images named <document>/page-<n>-<dpi>.png."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "page-*.png").option("recursiveFileLookup", "true").load(folder)
+    """document_id, page, dpi, content of images named <document>/page-<n>-<dpi>.png."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "page-*-*.png").option("recursiveFileLookup", "true").load(folder)
     parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -2).alias("document_id"), F.regexp_extract(F.element_at(parts, -1), r"^page-(\d+)", 1).cast("int").alias("page"), "content")
-
-
-def read_pages(pages: DataFrame, reader: PageReader, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(words, errors): a page that can't be read gives an error row and doesn't stop the others."""
-
-    names = [f.strip().split()[0] for f in f"document_id string, page int, error string, {schema}".split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for document, page, content in zip(b["document_id"], b["page"], b["content"]):
-                try:
-                    words = reader.words(content).assign(document_id=document, page=page, error=None)
-                except Exception as problem:  # noqa: BLE001 - whatever the reader raises belongs to its page
-                    words = pd.DataFrame({"document_id": [document], "page": [page], "error": [f"{type(problem).__name__}: {problem}"]})
-                yield words.reindex(columns=names).astype(object)
-
-    out = pages.select("document_id", "page", "content").mapInPandas(run, f"document_id string, page int, error string, {schema}")  # a field is a name and a simple type
-    return out.where(F.col("error").isNull()).drop("error"), out.where(F.col("error").isNotNull()).select("document_id", "page", "error")
-
-
-def detect_lines(gray) -> tuple[list[int], list[int]]:  # noqa: ANN001 - a numpy array of one byte a pixel
-    """(vertical, horizontal) lines of a gray page."""
-    horizontal, vertical = line_masks(gray)
-    xs = vertical_candidates(vertical)
-    return xs, horizontal_candidates(horizontal, xs[0], xs[-1]) if len(xs) > 1 else []
+    of = lambda i: F.regexp_extract(F.element_at(parts, -1), r"^page-(\d+)-(\d+)\.png$", i).try_cast("int")
+    return files.select(F.element_at(parts, -2).alias("document_id"), of(1).alias("page"), of(2).alias("dpi"), "content")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

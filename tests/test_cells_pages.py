@@ -1,12 +1,12 @@
 import zipfile
+from xml.etree import ElementTree
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from specloom.operators import cells, export, geometry, pages, review, spelling
-from specloom.sources.files import TOKENS, detect_lines, pdf_files, read_pages
-from specloom.sources.workbook import WorkbookSource
+from specloom.sources.files import TOKENS, pdf_files
+from specloom.sources.workbook import save_workbooks
 
 
 def tokens(spark, given):
@@ -87,14 +87,6 @@ def test_geometry(spark):
     assert sorted(r["line"] for r in geometry.runs(df, ["k"], "i").collect()) == [4, 8, 16]
     df = spark.createDataFrame([("a", [0, 10, 20, 30, 80]), ("b", [0, 5, 90])], "k string, l array<int>")
     assert {r["k"]: r["lines"] for r in geometry.trim_footer(df, ["k"], "l").collect()} == {"a": [0, 10, 20, 30], "b": [0, 5, 90]}
-    image = np.full((600, 800), 255, dtype=np.uint8)
-    for x in range(60, 790, 80):
-        image[20:580, x : x + 3] = 0
-    for y in range(20, 600, 60):
-        image[y : y + 2, 60:783] = 0
-    xs, ys = detect_lines(image)
-    assert len(xs) == 10
-    assert len(ys) == 10
 
 
 def test_spelling(spark):
@@ -142,11 +134,29 @@ def test_export_and_review(spark, tmp_path):
     with pytest.raises(ValueError):
         export.known_columns(["nosuch"])
     assert tuple(review.counters(df).collect()[0]) == (4, 2, 2, 2)
-    spark.dataSource.register(WorkbookSource)
-    out.drop("quantity_text").coalesce(1).write.format("workbook").option("sheet", "Лист").mode("append").save(str(tmp_path / "w"))
-    files = list((tmp_path / "w").glob("*.xlsx"))
-    assert len(files) == 1
-    assert "<v>12.5</v>" in zipfile.ZipFile(files[0]).read("xl/worksheets/sheet1.xml").decode()
+    marked = export.with_numbers(export.export_rows(df, ["name", "unit", "quantity"], keep=("status",))).drop("quantity_text")
+    save_workbooks(marked.coalesce(1), str(tmp_path / "w"), sheet="Лист", status="status", at="01.02.2031 10:00")
+    files = list((tmp_path / "w").glob("*"))
+    assert [f.suffix for f in files] == [".xlsx"]
+    with zipfile.ZipFile(files[0]) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    for n, text in parts.items():
+        if n.endswith(".xml") or n.endswith(".rels"):
+            ElementTree.fromstring(text)
+    sheet = parts["xl/worksheets/sheet1.xml"]
+    assert '<c r="C2" s="3"><v>12.5</v></c>' in sheet
+    assert "Отвод\tА" in sheet
+    assert 'state="frozen"' in sheet
+    assert sheet.count("<row ") == 2
+    assert 'ref="A1:C2"' in parts["xl/tables/table1.xml"]
+    assert 'name="Наименование и техническая характеристика"' in parts["xl/tables/table1.xml"]
+    assert ">01.02.2031 10:00<" in parts["xl/worksheets/sheet2.xml"]
+    assert '<c r="B4" s="1" t="inlineStr"><is><t xml:space="preserve">1</t>' in parts["xl/worksheets/sheet2.xml"]
+    assert 'name="Лист"' in parts["xl/workbook.xml"]
+    save_workbooks(spark.range(5).select(F.col("id").cast("string").alias("name")).coalesce(1), str(tmp_path / "many"), rows_per_file=2)
+    assert len(list((tmp_path / "many").glob("*.xlsx"))) == 3
+    save_workbooks(marked.limit(0), str(tmp_path / "none"), status="status")
+    assert not list((tmp_path / "none").glob("*.xlsx"))
 
 
 def test_edits(spark):
@@ -162,18 +172,6 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"x")
     got = {r["title"]: r["problem"] is None for r in pdf_files(spark, str(tmp_path), 50).collect()}
     assert got == {"a": True, "b": False}
-    class Broken:
-        def words(self, image):
-            import pandas as pd
-
-            if image == b"bad":
-                raise ValueError("no image")
-            return pd.DataFrame({"text": ["w"]})
-
-    df = spark.createDataFrame([("D", 1, b"ok"), ("D", 2, b"bad")], "document_id string, page int, content binary")
-    words, errors = read_pages(df, Broken(), "text string")
-    assert [r["page"] for r in words.collect()] == [1]
-    assert [(r["page"], r["error"]) for r in errors.collect()] == [(2, "ValueError: no image")]
 
 
 def test_stream(spark, tmp_path):
@@ -183,5 +181,7 @@ def test_stream(spark, tmp_path):
     g = grid(spark, [0, 20], [0, 20, 40, 60])
     for word in ("а", "б"):
         tokens(spark, [(2, 42, 8, 8, 90.0, word)]).write.mode("append").parquet(folder)
-        keep_cells(token_stream(spark, folder), folder, g, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [sorted(r["text"].split()) for r in latest_cells(spark, str(tmp_path / "out")).collect()] == [["а", "б"]]
+        keep_cells(token_stream(spark, folder), str(tmp_path / "out"), g, str(tmp_path / "cp"), buckets=4).awaitTermination()
+    page = spark.createDataFrame([("D", 1)], "document_id string, page int")
+    for pages, want in ((None, [["а", "б"]]), (page, [["а", "б"]]), (page.limit(0), [])):
+        assert [sorted(r["text"].split()) for r in latest_cells(spark, str(tmp_path / "out"), pages, buckets=4).collect()] == want
