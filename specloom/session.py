@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side may be broadcast or brought to the driver. Checked, never assumed.
 LOOKUP_ROWS = 50_000
+LOOKUP_BYTES = 32 << 20
 
 
 def build_session(cores: int | str = "*", partitions: int = 8, app: str = "specloom") -> SparkSession:
@@ -54,13 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_enough(df: DataFrame, limit: int = LOOKUP_ROWS) -> bool:
-    """Whether df has at most ``limit`` rows; reads no more than it must to know."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> bool:
+    """Whether df has at most ``limit`` rows, which hold at most ``most_bytes`` as text; reads no more rows than it must to know."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))
+    rows, held = df.limit(limit + 1).agg(F.count("*"), size).first()
+    return rows <= limit and held <= most_bytes
 
 
 def checked_broadcast(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``limit`` rows, else df as it is: the join then shuffles."""
+    """df with a broadcast hint if it has at most ``limit`` rows of LOOKUP_BYTES in all, else df as it is: the join then shuffles."""
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
