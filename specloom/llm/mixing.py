@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.llm.tokenize import VOCABULARY, encoder
-from specloom.session import collect_bounded, cut
+from specloom.session import collect_bounded, cut, ship_file
 
 #: Sources of a mix; each is one row of the target table.
 SOURCES = 1_000
@@ -43,6 +43,8 @@ def targets_of(targets: DataFrame) -> dict[str, Target]:
 def sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, source, text_hash, n_tokens of every document with a source and a text that isn't blank. A map without shuffle."""
 
+    ship_file(documents.sparkSession, path)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:

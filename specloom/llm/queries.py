@@ -124,7 +124,31 @@ g AS (SELECT row_order, min(row_order) OVER (PARTITION BY key) AS first_row_orde
 {result}"""
 
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё"
+_FIGURE = r"^([+№]?[0-9]+([.,][0-9]+)?|[0-9]+(×[0-9]+)+|Ø[0-9]+([.,][0-9]+)?|[IVX]+|[A-Z]{2,}[0-9]*|[А-ЯЁA-Z][0-9]*)$"
+#: Readings with what decides among them, from left to right: a text, a pass, unreadable tokens, length, confidence, time.
+_READINGS = rf"""w AS (SELECT list(lower(lex_key)) AS words FROM lexicon WHERE kind = 'word'),
+m AS (SELECT string_agg('\Q' || lex_key || '\E', '|' ORDER BY length(lex_key) DESC, lex_key) AS marks FROM lexicon WHERE kind = 'mark'),
+x AS (SELECT cell_id, result_id, column_key, text, read_at, source, CASE WHEN NOT isnan(confidence) THEN confidence END AS conf, coalesce(text, '') AS t,
+  list_transform(list_filter(string_split(regexp_replace(coalesce(text, ''), '[,;:«»\s\p{{Z}}]+', ' ', 'g'), ' '), lambda v: v <> ''), lambda v: regexp_replace(v, '^\(|\)$|\.$', '', 'g')) AS tokens FROM cell_results WHERE cell_id IS NOT NULL),
+y AS (SELECT x.*, trim(t, ' ') <> '' AS held, coalesce(source, 'none') <> 'none' AS passed, CASE
+  WHEN column_key IN ('name', 'note') THEN len(list_filter(tokens, lambda v: NOT (list_contains(words, lower(v)) OR regexp_matches(v, '^[а-яё]{{1,3}}$') OR (regexp_matches(lower(v), '^[а-яё]{{1,3}}$') AND regexp_matches(v, '^[{_LETTER}][а-яё]*$')) OR regexp_matches(v, '{_FIGURE}') OR len(list_filter(string_split(v, '-'), lambda p: NOT list_contains(words, lower(p)))) = 0))) + CASE WHEN regexp_matches(t, '[|~^_#*=¬{{}}<>$@]|[\s\p{{Z}}]$') THEN 1 ELSE 0 END
+  WHEN column_key = 'type_mark' THEN CASE WHEN regexp_matches(t, '^(' || marks || ')([- ./×]?[0-9]+)*([- ][A-ZА-ЯЁ]| исп\. [IVX]+)?$') THEN 0 ELSE 1 END
+  WHEN column_key = 'manufacturer' THEN CASE WHEN t IN (SELECT lex_key FROM lexicon WHERE kind = 'maker') THEN 0 ELSE 1 END
+  WHEN column_key = 'unit' THEN CASE WHEN t IN (SELECT lex_key FROM lexicon WHERE kind = 'unit') THEN 0 ELSE 1 END
+  WHEN column_key IN ('quantity', 'mass') THEN CASE WHEN regexp_matches(t, '^[+-]?[0-9]+([.,][0-9]+)?$') THEN 0 ELSE 1 END ELSE 0 END AS odd,
+  CASE WHEN column_key IN ('quantity', 'mass') THEN 0 ELSE length(trim(t, ' ')) END AS size,
+  CASE WHEN source LIKE 'cell-%' THEN 3 WHEN source LIKE 'accurate-column%' THEN 2 WHEN source LIKE 'page-%' THEN 1 ELSE 0 END AS trust FROM x, w, m)"""
+_LATEST = "conf DESC NULLS LAST, read_at DESC NULLS LAST, result_id"
+
+
+def _first(value: str, order: str) -> str:
+    return f"list({value} ORDER BY {order})[1]"
+
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"WITH {_READINGS} SELECT cell_id, {_first('result_id', f'held DESC, passed DESC, odd, size DESC, {_LATEST}')} AS result_id FROM y GROUP BY cell_id HAVING count(*) > 1",
+    "p1_golden": f"WITH {_READINGS} SELECT cell_id, {_first('text', f'held DESC, passed DESC, odd, size DESC, {_LATEST}')} AS text, {_first('conf', f'held DESC, passed DESC, odd = 0 DESC, {_LATEST}')} AS confidence, {_first('source', f'held DESC, passed DESC, odd = 0 DESC, trust DESC, {_LATEST}')} AS source, max(read_at) AS read_at FROM y GROUP BY cell_id",
     "p5_found": _canonical_sql("SELECT first_row_order, row_order FROM g WHERE row_order > first_row_order"),
     "p5_groups": _canonical_sql("SELECT first_row_order, copies FROM g WHERE row_order = first_row_order"),
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -7,7 +7,7 @@ Which tokens may follow each other is a property of pairs: a row of tokens is th
 and only if each neighbouring pair is the encoding of its own bytes, which the merge ranks decide once per
 pair. Transitions are kept, so a common word costs a few lookups, and whole pieces are kept above them.
 
-The vocabulary file stays where it is; its path is a parameter.
+The vocabulary file stays where it is; its path is a parameter. Executors that don't have it there get it from the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from specloom.session import ship_file, shipped
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value. How the vocabulary's texts are cut into pieces before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -217,7 +219,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str = VOCABULARY) -> Encoder:
     """One encoder per worker and vocabulary; its states and pieces serve all tasks of the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(shipped(path))
     return _ENCODERS[path]
 
 
@@ -227,6 +229,8 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     A map without shuffle: only key and text are read. Very long texts are encoded whole, as one row.
     """
 
+    ship_file(documents.sparkSession, path)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
@@ -239,6 +243,8 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """key, text: the texts of rows of ids; the empty text for an empty or null list."""
 
+    ship_file(encoded.sparkSession, path)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder({i: t for t, i in encoder(path).ranks.items()})
         for b in batches:
