@@ -73,36 +73,48 @@ _SAME = {(a, b) for g in CONFUSED for a in g for b in g}
 SIGNS = [chr(c) for c in (*range(0xFF01, 0xFF5F), *range(0x2160, 0x2180), 0xA0, 0x2007, 0x202F, 0x3000, *range(0x2000, 0x200B))]
 
 
+def letter_set(s: str) -> int:
+    out = 0
+    for c in s:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 class Trie:
-    """Words as nested dicts; '' marks the end of a word."""
+    """Words by letter. A node is its children, the letters that any and that all of its words hold, their least and greatest length, and the word that ends there."""
 
     def __init__(self, words: Iterable[str]) -> None:
-        self.root: dict = {}
+        self.root: list = [{}, 0, -1, 1 << 30, 0, None]
         for w in words:
-            node = self.root
+            node, letters = self.root, letter_set(w)
             for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
+                node = node[0].setdefault(c, [{}, 0, -1, 1 << 30, 0, None])
+                node[1] |= letters
+                node[2] &= letters
+                node[3], node[4] = min(node[3], len(w)), max(node[4], len(w))
+            node[5] = w
 
     def within(self, word: str, k: int) -> list[tuple[str, int]]:
         """All words within k edits of word, each with its distance.
 
         The automaton of Levenshtein is run as k + 1 bit masks: bit i of mask e says that i letters of word can be read
-        with e edits. A branch ends when the last mask, which holds all others, is empty.
+        with e edits. A branch ends when the last mask, which holds all others, is empty, and where lengths or letters
+        alone tell that more than k edits are needed.
         """
         at: dict[str, int] = {}
         for i, x in enumerate(word):
             at[x] = at.get(x, 0) | 1 << i
-        whole = 1 << len(word)
+        n, own = len(word), letter_set(word)
+        whole = 1 << n
         mask = 2 * whole - 1
         found: list[tuple[str, int]] = []
         stack = [(self.root, [(2 << e) - 1 & mask for e in range(k + 1)])]
         while stack:
             node, rows = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if rows[k] & whole:
-                        found.append((child, next(e for e, r in enumerate(rows) if r & whole)))
+            if node[5] is not None and rows[k] & whole:
+                found.append((node[5], next(e for e, r in enumerate(rows) if r & whole)))
+            for c, child in node[0].items():
+                if child[3] - n > k or n - child[4] > k or (own & ~child[1]).bit_count() > k or (child[2] & ~own).bit_count() > k:
                     continue
                 hit = at.get(c, 0)
                 before = rows[0]
