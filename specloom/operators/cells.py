@@ -184,15 +184,18 @@ def fill_amounts(cells: DataFrame, again: DataFrame, by: list[str]) -> DataFrame
     return cells.join(new.select(*by, "column_key"), [*by, "column_key"], "left_anti").unionByName(new)
 
 
-def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(), lexicon: DataFrame | None = None, accurate: bool = True) -> DataFrame:
+def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(), lexicon: DataFrame | None = None, accurate: bool = True, column_tokens: DataFrame | None = None) -> DataFrame:
     """document_id, page, row_no, column_key, text, confidence, source of every cell that has words.
 
-    Readings of the page compete; words of column passes come with their cell, see column_pass_tokens, and are taken for
-    placed if they have the coordinates of the page. Readings of single cells (pass names ``cell-``) only count where a
-    cell is read again or an amount is filled. Misspelt words are corrected if a lexicon is given.
+    tokens are in pixels of the page; column_tokens, if there are any, in those of enlarged columns, see
+    column_pass_tokens. Their readings compete. Readings of single cells (pass names ``cell-``) only count where a cell is
+    read again or an amount is filled. Misspelt words are corrected if a lexicon is given.
     """
     by = [*PAGE, "row_no"]
-    cells = cell_texts(bucket_tokens(tokens, grid, profile)).withColumn("column_key", key_of(F.col("col_no"), profile))
+    placed = bucket_tokens(tokens, grid, profile)
+    if column_tokens is not None:
+        placed = placed.unionByName(column_pass_tokens(column_tokens, grid, profile))
+    cells = cell_texts(placed).withColumn("column_key", key_of(F.col("col_no"), profile))
     correct = None
     if lexicon is not None:
         correct = lambda df, value: correct_texts(df, value, lexicon, F.col("column_key").isin(*CORRECTED))

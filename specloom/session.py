@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -41,7 +45,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="specloom-")) / "specloom.zip"
+    folder = Path(tempfile.mkdtemp(prefix="specloom-"))  # of the driver alone; addPyFile serves the file from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "specloom.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -107,18 +113,36 @@ def shipped(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
+_CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder and read back.
 
     A lost executor then costs no recomputation of the past, and what follows reads only the columns it
     needs. Unlike checkpoint(), which runs the plan twice unless it is cached, this runs it once. The files
-    go when the application ends.
+    go when the application ends, or at the end of a cuts_removed block.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cuts_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the files of the cuts made within: for long sessions, around work whose results are written or collected there."""
+    before = len(_CUTS)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _CUTS[before:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        del _CUTS[before:]

@@ -6,10 +6,12 @@ stop the others. Rendering of documents and recognition of words stay behind pro
 
 from __future__ import annotations
 
+import shutil
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from specloom.operators.geometry import horizontal_candidates, line_masks, vertical_candidates
 from specloom.schema import COLUMNS, PASS_OF_COLUMN, WIDTH_RATIOS, Profile, reading_plan
+from specloom.session import cut
 from specloom.sources.files import TOKENS
 
 #: Fixed values. Resolutions that pages are fetched in, at least and at most; the one pages are looked through in.
@@ -44,6 +47,16 @@ class WordReader(Protocol):
         """block_num, par_num, line_num, word_num, left, top, width, height, conf, text of a gray image."""
 
 
+def missing_models(folder: str, languages: Sequence[str] = ("rus", "eng"), ending: str = ".traineddata") -> list[str]:
+    """The languages for which a word reader's folder has no model, to be asked before pages are read in accurate mode."""
+    return [x for x in languages if not (Path(folder) / f"{x}{ending}").is_file()]
+
+
+def command_of(named: str | None, usual: Sequence[str]) -> str | None:
+    """The program a word reader runs: the one named, else the first usual one that is there; None without any."""
+    return next((found for c in (named, *usual) if c and (found := shutil.which(c))), None)
+
+
 class TableError(ValueError):
     """A page on which no table is found."""
 
@@ -270,6 +283,8 @@ def cell_image(clean: np.ndarray, table: Table, row: int, col: int, scale: float
 
 
 def _split(out: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and errors of what was computed once: rendering and recognition cost too much to be done for each of the two."""
+    out = cut(out)
     return out.where(F.col("error").isNull()).select(*columns), out.where(F.col("error").isNotNull()).select("document_id", "page", "error")
 
 
@@ -314,7 +329,7 @@ def inspect_documents(files: DataFrame, reader: DocumentReader) -> tuple[DataFra
                     row |= {"error": f"{type(problem).__name__}: {problem}"}
                 yield _frame([row], _names(schema))
 
-    out = files.select("document_id", "filename", "size_bytes", "content").mapInPandas(run, schema)
+    out = cut(files.select("document_id", "filename", "size_bytes", "content").mapInPandas(run, schema))
     return out.where(F.col("error").isNull()).drop("error"), out.where(F.col("error").isNotNull()).select("document_id", "filename", "error")
 
 

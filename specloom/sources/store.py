@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from specloom.operators.review import summary
 from specloom.schema import RESULT_ROW
+from specloom.sources.files import pdf_files
+from specloom.sources.images import DocumentReader, inspect_documents
 
 DOCUMENTS = "document_id string, filename string, page_count int, title string, size_bytes long"
 ERRORS = "document_id string, page int, error string"
@@ -135,3 +137,11 @@ class Store:
                 if part.startswith("version=") and part.removeprefix("version=") not in live:
                     gone += bool(fs.delete(f.getPath(), True))
         return gone
+
+
+def ingest(store: Store, folder: str, reader: DocumentReader) -> DataFrame:
+    """Registers every PDF below a folder with its pages and title; returns document_id, filename, error of those that are too large or can't be opened."""
+    files = pdf_files(store.spark, folder, contents=True)
+    found, broken = inspect_documents(files.where(F.col("problem").isNull()), reader)
+    store.add(found)
+    return files.where(F.col("problem").isNotNull()).select("document_id", "filename", F.col("problem").alias("error")).unionByName(broken)

@@ -118,6 +118,40 @@ def test_pages_to_cells(spark):
     assert [tuple(r) for r in cells.bucket_tokens(again, grid).select("row_no", "col_no").distinct().collect()] == [(2, 1)]
 
 
+def test_recognition_from_images(spark):
+    from specloom.plans.recognition import recognize, suggest_pages
+
+    pages = spark.createDataFrame([("D", 1, bytearray(images.encode_png(page()))), ("D", 2, bytearray(b"x")), ("D", 3, bytearray(images.encode_png(np.full((320, 960), 255, np.uint8))))], "document_id string, page int, content binary")
+    found, errors = suggest_pages(pages)
+    assert [r["page"] for r in found.collect()] == [1]
+    assert [r["page"] for r in errors.collect()] == [2]
+    done = recognize(pages, scanner()).require_some()
+    rows = done.rows.collect()
+    assert [(r["name"], r["page"], r["row_type"], r["status"]) for r in rows] == [("слово rus+eng", 1, "note", "review")]
+    assert rows[0]["ocr_sources"]["name"].startswith("cell-accurate-")
+    assert {r["page"] for r in done.errors.collect()} == {2, 3}
+    assert [(r["column_count"], r["row_count"]) for r in done.geometry.collect()] == [(9, 6)]
+    with pytest.raises(RuntimeError, match="no PNG"):
+        recognize(pages.where("page = 2"), scanner()).require_some()
+
+
+def test_reader_of_words_is_looked_for(tmp_path):
+    (tmp_path / "rus.traineddata").write_bytes(b"")
+    assert images.missing_models(str(tmp_path)) == ["eng"]
+    assert images.command_of(None, ["surely-no-program", "ls"]).endswith("ls")
+    assert images.command_of("surely-no-program", []) is None
+
+
+def test_ingest(spark, tmp_path):
+    from specloom.sources.store import ingest
+
+    for name, content in (("a.pdf", bytes([2])), ("b.PDF", b"bad"), ("c.txt", b"x")):
+        (tmp_path / name).write_bytes(content)
+    store = Store(spark, str(tmp_path / "s"))
+    assert [(r["filename"], r["error"]) for r in ingest(store, str(tmp_path), reader()).collect()] == [("b.PDF", "ValueError: no document")]
+    assert [(r["filename"], r["page_count"], r["title"]) for r in store.documents().collect()] == [("a.pdf", 2, "Проект")]
+
+
 def reader():
     class Reader:
         def inspect(self, content):
@@ -208,3 +242,19 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Cluster)
     assert session.is_local(spark)
+
+
+def test_cuts_are_removed(spark):
+    from urllib.parse import urlparse
+
+    from specloom import session
+
+    outside = session.cut(spark.range(3))
+    with session.cuts_removed(spark):
+        inside = session.cut(spark.range(4))
+        assert inside.count() == 4
+        folder = urlparse(inside.inputFiles()[0]).path.rsplit("/", 1)[0]
+    import os
+
+    assert not os.path.exists(folder)
+    assert outside.count() == 3
