@@ -6,10 +6,11 @@ their letters, each shard is a trie, and a query walks it with the rows of its L
 that allows k edits is cut into k + 1 segments. Edits within segments leave one of them whole, number i from 0
 with i edits to its left and at most k - i to its right; a swap over a border counts for neither segment, as
 queries also come with the letters of a border swapped back. So every pair that is allowed meets in a shard.
-Names are queried in every order of their words: all permutations up to ORDERS words; of longer ones, in which at
-least two words are untouched by the edits, every choice of TOUCHED words is put after the others, which are sorted
-and make a shard of their own, in all orders. Cores joined this way form classes; shortened names are then attached
-by the word they keep, which meets the words of cores in a trie join of its own.
+Names are queried in every order of their words: all permutations up to ORDERS words. Of two longer ones at most
+TOUCHED words differ; put in an order of their own, then two of the first TOUCHED + 2 words of the one are among those
+of the other, so such names meet in the shards of two words, and the words they don't share are compared in all orders.
+Cores joined this way form classes; shortened names are then attached by the word they keep, which meets the words of
+cores in a trie join of its own.
 
 A shard with more than BLOCK cores or queries is split both ways, and each part of the queries visits each block of
 the cores; nothing is cut off.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, permutations
@@ -37,7 +40,7 @@ LONG = 12
 SLIP, SLIPS = 0.75, 2.5
 #: Cores in one trie, and queries that one task puts to it.
 BLOCK = 20_000
-#: Words up to which a name is queried in all their orders; beyond, edits touch at most TOUCHED words.
+#: Words up to which a name is queried in all their orders; beyond, edits touch at most TOUCHED words, as many as edits are allowed.
 ORDERS, TOUCHED = 4, 3
 #: Entries of one class in a block of the join that gives its pairs.
 PAIR_BLOCK = 4096
@@ -235,13 +238,26 @@ def _orders(words: list[str]) -> list[str]:
 
 
 def _long_rows(words: list[str], name: str) -> Iterator[tuple[str, bool, str, str]]:
-    """The rows of a name of more than ORDERS words: for each choice of TOUCHED words, these in all orders after the sorted others."""
-    n = len(name)
-    for chosen in combinations(range(len(words)), TOUCHED):
-        rest = "".join(sorted(w for i, w in enumerate(words) if i not in chosen))
-        forms = list(dict.fromkeys(rest + "".join(p) for p in permutations(sorted(words[i] for i in chosen))))
-        yield f"{n} w {rest}", True, forms[0], name
-        yield from ((f"{size} w {rest}", False, form, name) for form in forms for size in range(max(1, n - _allowed(n)), n + K + 2))
+    """The rows of a name of more than ORDERS words: in the shards of any two of its first words by their checksums."""
+    first = sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[: TOUCHED + 2]
+    for shard in dict.fromkeys(f"w {len(words)} {a} {b}" for a, b in combinations(first, 2)):
+        yield shard, True, " ".join(words), name
+        yield shard, False, " ".join(words), name
+
+
+def _words_apart(a: str, b: str) -> bool:
+    """Whether two names of equally many words differ by the edits allowed in at most TOUCHED of them, in any order."""
+    own, its = Counter(a.split(" ")), Counter(b.split(" "))
+    left, right = list((own - its).elements()), list((its - own).elements())
+    if len(left) > TOUCHED:
+        return False
+    form, k = "".join(left), min(_allowed(len(a)), _allowed(len(b)))
+    for p in permutations(right):
+        other = NameTrie()
+        other.add("".join(p))
+        if not left or any(d <= K or slips(form, met) <= SLIPS for met, d in other.within(form, k)):
+            return True
+    return False
 
 
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,9 +296,11 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (shard, block, part) != at:
                 at, trie, names = (shard, block, part), NameTrie(), {}
             if not is_query:
-                if form not in names:
+                if form not in names and not shard.startswith("w "):
                     trie.add(form)
                 names.setdefault(form, []).append(name)
+            elif shard.startswith("w "):
+                out.update((min(name, other), max(name, other)) for met, others in names.items() if met != form and _words_apart(form, met) for other in others if other != name)
             else:
                 for met, d in trie.within(form, min(_allowed(len(form)), _allowed(trie.size))):
                     if d <= K or slips(form, met) <= SLIPS:

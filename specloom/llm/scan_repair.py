@@ -93,6 +93,7 @@ class Trie:
                 node[2] &= letters
                 node[3], node[4] = min(node[3], len(w)), max(node[4], len(w))
             node[5] = w
+            self.root[4] = max(self.root[4], len(w))
 
     def within(self, word: str, k: int) -> list[tuple[str, int]]:
         """All words within k edits of word, each with its distance.
@@ -101,10 +102,12 @@ class Trie:
         with e edits. A branch ends when the last mask, which holds all others, is empty, and where lengths or letters
         alone tell that more than k edits are needed.
         """
+        n, own = len(word), letter_set(word)
+        if n - self.root[4] > k:
+            return []
         at: dict[str, int] = {}
         for i, x in enumerate(word):
             at[x] = at.get(x, 0) | 1 << i
-        n, own = len(word), letter_set(word)
         whole = 1 << n
         mask = 2 * whole - 1
         found: list[tuple[str, int]] = []
@@ -188,7 +191,8 @@ class Repairer:
         """The words a misread one may stand for, each with the price of its shapes."""
         if (hit := self.met.get(low)) is None:
             hit = []
-            for form in alternatives(low):
+            reach = 6 * self.trie.root[4] + 6  # forms are half as long at least, and edits are a third of a form and one
+            for form in alternatives(low) if len(low) <= reach else ():
                 for word, _ in self.trie.within(form, bound(form)):
                     if (shapes := shape_distance(form, word)) <= len(form) / 3:
                         hit.append((word, shapes + (0.3 if form != low else 0.0)))

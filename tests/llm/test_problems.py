@@ -130,8 +130,8 @@ def test_repair(spark, lexicon, no_lexicon):
     assert got == cases
     assert scan_repair.repair_text(df.limit(0), "raw_id", ["name"], lexicon).count() == 0
     assert scan_repair.repair_text(df, "raw_id", ["name"], no_lexicon).count() == len(cases)
-    long = spark.createDataFrame([(1, "клапан " * 50_000)], "raw_id long, name string")
-    assert scan_repair.repair_text(long, "raw_id", ["name"], lexicon).collect()[0]["wrong"] == []
+    long = spark.createDataFrame([(1, "клапан " * 50_000), (2, "клапан" * 50_000), (3, "".join(scan_repair.GROUPS) * 5_000)], "raw_id long, name string")
+    assert {r["raw_id"]: "broken" in r["wrong"] or "page" in r["wrong"] for r in scan_repair.repair_text(long, "raw_id", ["name"], lexicon).collect()} == {1: False, 2: False, 3: False}
 
 
 def test_page_lines_and_text_that_looks_like_them():
@@ -338,6 +338,19 @@ def test_all_orders_of_words(spark):
         assert set(got) == want
 
 
+def test_names_of_very_many_words(spark):
+    """Thousands of words, in another order and with three slips: one maker; four words changed: another."""
+    rng = random.Random(77)
+    words = ["".join(rng.choice("бвгдклмнрст") + rng.choice("аеиоу") for _ in range(4)) for _ in range(3000)]
+    other = rng.sample(words, len(words))
+    for i in (5, 100, 2000):
+        other[i] = other[i][1] + other[i][0] + other[i][2:]
+    far = [*words[:-4], *("жухлицаш", "зябликуш", "фонарищеш", "чайникуш")]
+    names = [" ".join(words), " ".join(other), " ".join(far), "б" * 50_000, "б" * 50_001, None, ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "edit_id long, manufacturer string")
+    assert {tuple(r) for r in name_link.entry_pairs(df).collect()} == {(0, 1), (3, 4)}
+
+
 def test_short_names(spark):
     """Misread kept words, also of one-word makers, and a cut word that tells two makers with the same word apart."""
     groups = [["Тидипо-Лерустрой", "Тидипо Лерустрой", "ООО Тидипо Лерустрой", "Тидипо"], ["Тидипо-Вамотех", "Тидипо В.", "Тидпио-Вам."], ["Борейка", "Борекка", "ООО Борейка"], ["Кувозе-Сапром", "Куовзе"]]
