@@ -190,15 +190,17 @@ def round1(x: Column) -> Column:
 
     x * 20 is computed with its rounding error, which says on which side of a middle x lies.
     """
-    big = x * 134217729.0
-    high = big - (big - x)
-    low = x - high
-    p = x * 20.0
-    error = (high * 20.0 - p) + low * 20.0
-    middle = F.abs(p % 2) == 1.0
-    below = F.floor(p / 2.0)
-    up = F.when(error > 0, 1).when(error < 0, 0).otherwise(F.abs(below % 2))
-    return F.when(middle, below + up).otherwise(F.floor((p + 1.0) / 2.0)) / 10.0
+
+    def rounded(v: Column) -> Column:
+        big = v * 134217729.0
+        high = big - (big - v)
+        p = v * 20.0
+        error = (high * 20.0 - p) + (v - high) * 20.0
+        below = F.floor(p / 2.0)
+        up = F.when(error > 0, 1).when(error < 0, 0).otherwise(F.abs(below % 2))
+        return F.when(F.abs(p % 2) == 1.0, below + up).otherwise(F.floor((p + 1.0) / 2.0)) / 10.0
+
+    return F.get(F.transform(F.array(x), rounded), F.lit(0))  # x is computed once
 
 
 def confidence(c: Column | str) -> Column:

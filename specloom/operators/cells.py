@@ -214,12 +214,11 @@ def read_cells(tokens: DataFrame, grid: DataFrame, profile: Profile = Profile(),
 
 def wide_rows(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """One row per line of the sheet with its columns, confidences, sources and box; rows without any text are left out."""
-    of = lambda k, c, empty: F.coalesce(F.max(F.when(F.col("column_key") == k, F.col(c))), F.lit(empty))
-    wide = cells.groupBy(*PAGE, "row_no").agg(
-        *[of(k, "text", "").alias(k) for k in COLUMNS],
-        F.create_map(*[x for k in COLUMNS for x in (F.lit(k), of(k, "confidence", 0.0))]).alias("confidences"),
-        F.create_map(*[x for k in COLUMNS for x in (F.lit(k), of(k, "source", "none"))]).alias("ocr_sources"),
-    )
+    cell = F.struct("text", "confidence", "source")
+    held = cells.where(F.col("column_key").isin(*COLUMNS)).groupBy(*PAGE, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_key", cell))).alias("cells"))  # a cell per column
+    of = lambda k, c, empty: F.coalesce(F.try_element_at("cells", F.lit(k))[c], F.lit(empty))
+    both = lambda c, empty: F.create_map(*[x for k in COLUMNS for x in (F.lit(k), of(k, c, empty))]).alias(f"{c}s")
+    wide = held.select(*PAGE, "row_no", *[of(k, "text", "").alias(k) for k in COLUMNS], both("confidence", 0.0), both("source", "none").alias("ocr_sources"))
     wide = wide.where(strip(F.concat(*COLUMNS)) != "")
     pages = checked_broadcast(grid.select(*PAGE, "image_width", "image_height", "x_lines", "y_lines"))
     x0, x1 = F.get("x_lines", F.lit(0)), F.element_at("x_lines", -1)
