@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,6 +140,51 @@ y AS (SELECT x.*, trim(t, ' ') <> '' AS held, coalesce(source, 'none') <> 'none'
   WHEN column_key IN ('quantity', 'mass') THEN CASE WHEN regexp_matches(t, '^[+-]?[0-9]+([.,][0-9]+)?$') THEN 0 ELSE 1 END ELSE 0 END AS odd,
   CASE WHEN column_key IN ('quantity', 'mass') THEN 0 ELSE length(trim(t, ' ')) END AS size,
   CASE WHEN source LIKE 'cell-%' THEN 3 WHEN source LIKE 'accurate-column%' THEN 2 WHEN source LIKE 'page-%' THEN 1 ELSE 0 END AS trust FROM x, w, m)"""
+
+
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+def _units_sql(result: str) -> str:
+    """Free units: forms of the list and of the entries as values, all pairs within the edits allowed, distances by rows. The lists and keyboard are the operator's own."""
+    same = [(c, k) for c in map(chr, (*range(0xA0, 0x100), *range(0x2000, 0x2200), *range(0xFF01, 0xFF5F))) if (k := unicodedata.normalize("NFKC", c)) != c and len(k) == 1 and k != "'"]
+    fold = lambda c: f"replace(lower(translate({c}, '{''.join(a for a, _ in same)}', '{''.join(b for _, b in same)}')), 'ё', 'е')"
+    edge = r"""[\s\p{Z}.,;:|/_~*()\[\]«»"''—–-]+"""
+    plain = lambda c: rf"regexp_replace(regexp_replace(regexp_replace({fold(c)}, '[\s\p{{Z}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}\x{{AD}}]+', ' ', 'g'), '^{edge}|{edge}$', '', 'g'), '[\s.^]+', '', 'g')"
+    forms = [(unit_map.fold(name), unit_map.compact(unit_map.fold(f)), j) for name, fs in unit_map.FORMS.items() for j, f in enumerate(fs.split(), 2)]
+    others = [(unit_map.compact(unit_map.fold(f)), j) for j, f in enumerate(unit_map.OTHERS.split())]
+    keys = [(f, unit_map.compact(unit_map.fold(u)), j) for j, (f, u) in enumerate(unit_map.UNIT_KEYS.items())]
+    near = "|" + "|".join(sorted(x + y for x, ys in unit_map.NEAR.items() for y in ys)) + "|"
+    table = lambda t: ("".join(map(chr, t)), "".join(map(chr, t.values())))
+    read = lambda t: "translate(f, '{}', '{}')".format(*table(t))
+    allowed = lambda c: f"CASE WHEN length({c}) < 4 THEN 0 WHEN length({c}) < 8 THEN 1 ELSE 2 END"
+
+    def distance(cut: str, add: str, other: str, swap: float) -> str:
+        swapped = f"CASE WHEN i > 1 AND j > 1 AND f[i] = r[j - 1] AND f[i - 1] = r[j] THEN st.above[j - 1] + {swap}::DOUBLE ELSE 99.0::DOUBLE END"
+        row = f"list_reduce(range(1, length(r) + 1), lambda got, j: list_append(got, least(st.last[j + 1] + {cut}, got[j] + {add}, st.last[j] + CASE WHEN f[i] = r[j] THEN 0.0::DOUBLE ELSE {other} END, {swapped})), [i::DOUBLE])"
+        first = "list_transform(range(0, length(r) + 1), lambda v: v::DOUBLE)"
+        return f"list_reduce(range(1, length(f) + 1), lambda st, i: {{'above': st.last, 'last': {row}}}, {{'above': {first}, 'last': {first}}}).last[-1]"
+
+    one = "1.0::DOUBLE"
+    weighted = distance("CASE WHEN i > 1 AND f[i - 1] = f[i] THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END", "CASE WHEN j > 1 AND r[j - 1] = r[j] THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END", f"CASE WHEN contains('{near}', '|' || f[i] || r[j] || '|') THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END", 0.6)
+    return f"""WITH src AS (SELECT unit AS value, count(*) AS rows FROM raw_rows WHERE unit IS NOT NULL GROUP BY unit),
+entry AS (SELECT lex_key, {plain('lex_key')} AS k, {plain('lex_value')} AS n, {fold('lex_value')} AS named, row_number() OVER (ORDER BY ordinal, lex_key) - 1 AS i FROM lexicon WHERE kind = 'unit'),
+allf AS (SELECT k AS form, lex_key AS entry, i AS place, i * 1000 AS p FROM entry UNION ALL SELECT n, lex_key, i, i * 1000 + 1 FROM entry
+  UNION ALL SELECT form, lex_key, i, i * 1000 + j FROM entry JOIN (VALUES {_values(forms)}) v(named, form, j) USING (named)
+  UNION ALL SELECT form, 'none', (SELECT count(*) FROM entry), 1000000 + j FROM (VALUES {_values(others)}) v(form, j)
+  UNION ALL SELECT form, arg_min(lex_key, i), min(i), 2000000 + j FROM entry JOIN (VALUES {_values(keys)}) v(form, k, j) USING (k) GROUP BY form, j),
+ref AS (SELECT form AS r, arg_min(entry, p) AS entry, arg_min(place, p) AS place FROM allf WHERE form <> '' GROUP BY form),
+spelt AS (SELECT value, rows, {plain('value')} AS f FROM src),
+four AS (SELECT value, unnest([f, {read(unit_map._LATIN)}, {read(unit_map._CYRILLIC)}, {read(unit_map._ITALIC)}]) AS f, unnest([0, 1, 2, 3]) AS pos FROM spelt),
+scripts AS (SELECT value, f, row_number() OVER (PARTITION BY value ORDER BY min(pos)) - 1 AS script FROM four GROUP BY value, f),
+near AS (SELECT f, r, entry, place, {weighted} AS d FROM (SELECT DISTINCT f FROM scripts WHERE length(f) <= 80) JOIN ref ON abs(length(f) - length(r)) <= 2 WHERE f = r OR (least({allowed('f')}, {allowed('r')}) > 0 AND {distance(one, one, one, 1.0)} <= least({allowed('f')}, {allowed('r')}))),
+best AS (SELECT scripts.value, arg_min(near.entry, (d + 0.05::DOUBLE * script, -coalesce(src.rows, 0), place, near.entry)) AS entry FROM scripts JOIN near USING (f) LEFT JOIN src ON near.entry = src.value GROUP BY scripts.value),
+mapped AS (SELECT value, rows, coalesce(entry, 'none') AS unit_key FROM src LEFT JOIN best USING (value))
+{result}"""
+
+
 _LATEST = "conf DESC NULLS LAST, read_at DESC NULLS LAST, result_id"
 
 
@@ -148,6 +194,8 @@ def _first(value: str, order: str) -> str:
 
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_READINGS} SELECT cell_id, {_first('result_id', f'held DESC, passed DESC, odd, size DESC, {_LATEST}')} AS result_id FROM y GROUP BY cell_id HAVING count(*) > 1",
+    "p2_found": _units_sql("SELECT raw_id, unit_key FROM raw_rows JOIN mapped ON unit = value WHERE unit <> '' AND unit NOT IN (SELECT lex_key FROM entry)"),
+    "p2_report": _units_sql("SELECT value, rows, unit_key, unit_key = 'none' AS missed FROM mapped"),
     "p1_golden": f"WITH {_READINGS} SELECT cell_id, {_first('text', f'held DESC, passed DESC, odd, size DESC, {_LATEST}')} AS text, {_first('conf', f'held DESC, passed DESC, odd = 0 DESC, {_LATEST}')} AS confidence, {_first('source', f'held DESC, passed DESC, odd = 0 DESC, trust DESC, {_LATEST}')} AS source, max(read_at) AS read_at FROM y GROUP BY cell_id",
     "p5_found": _canonical_sql("SELECT first_row_order, row_order FROM g WHERE row_order > first_row_order"),
     "p5_groups": _canonical_sql("SELECT first_row_order, copies FROM g WHERE row_order = first_row_order"),
