@@ -37,16 +37,18 @@ def sorted_parts(field: Column) -> Column:
 def canonical_keys(rows: DataFrame, name: Column, mark: Column) -> DataFrame:
     """rows with ``k``: one string for all formattings of (name, mark).
 
-    The two fields may stand exchanged, so the one with the larger share of digits counts as the mark; at a
-    tie the shorter, then the one whose characters come first in order. If only one holds anything, it is the
-    name. None of this depends on formatting.
+    The two fields may stand exchanged. If only one holds anything, or only one has two parts of three letters
+    or more, it is the name; else the one with the larger share of digits counts as the mark; at a tie the
+    shorter, then the one whose characters come first in order. None of this depends on formatting.
     Each bare field is a column of its own, so that it is computed once.
     """
     share = lambda b: F.coalesce(F.length(F.regexp_replace(b, r"\D+", "")) / F.nullif(F.length(b), F.lit(0)), F.lit(0.0))
     letters = lambda b: F.array_join(F.array_sort(F.split(b, "")), "")
     r = rows.withColumns({"_name": name, "_mark": mark}).withColumns({"_bn": bare(F.col("_name")), "_bm": bare(F.col("_mark"))}).withColumns({"_sn": share(F.col("_bn")), "_sm": share(F.col("_bm"))})
+    wordy = lambda c: F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), _SEPARATOR), lambda p: F.regexp_count(p, F.lit(r"\p{L}")) >= 3)) > 1
+    r = r.withColumns({"_wn": wordy("_name"), "_wm": wordy("_mark")})
     shorter = F.when(F.length("_bn") == F.length("_bm"), letters(F.col("_bn")) < letters(F.col("_bm"))).otherwise(F.length("_bn") < F.length("_bm"))
-    r = r.withColumn("_x", F.when(F.col("_bm") == "", False).when(F.col("_bn") == "", True).when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
+    r = r.withColumn("_x", F.when(F.col("_bm") == "", False).when(F.col("_bn") == "", True).when(F.col("_wn") != F.col("_wm"), F.col("_wm")).when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
     r = r.withColumns({"_text": F.when(F.col("_x"), F.col("_mark")).otherwise(F.col("_name")), "_code": F.when(F.col("_x"), F.col("_bn")).otherwise(F.col("_bm"))})
     return r.withColumn("k", F.concat_ws("#", sorted_parts(F.col("_text")), "_code"))
 

@@ -104,6 +104,16 @@ def _bare(chars: str) -> str:
     return f"coalesce(array_to_string(list_filter({chars}, lambda c, i: {kept}), ''), '')"
 
 
+def _parts(chars: str) -> str:
+    """DuckDB: the parts between separators of a list of characters."""
+    between = f"i > 1 AND regexp_full_match({chars}[i - 1], '[0-9]') AND regexp_full_match(coalesce({chars}[i + 1], ''), '[0-9]')"
+    return f"string_split(array_to_string(list_transform({chars}, lambda c, i: CASE WHEN c IN (',', ';', '/', '|') AND NOT ({between}) THEN chr(1) ELSE c END), ''), chr(1))"
+
+
+def _wordy(chars: str) -> str:
+    return rf"(len(list_filter({_parts(chars)}, lambda s: len(regexp_extract_all(s, '\p{{L}}')) >= 3)) > 1)"
+
+
 def _canonical_sql(result: str) -> str:
     return rf"""
 WITH r AS (
@@ -116,9 +126,9 @@ o AS (
     coalesce(length(regexp_replace(tb, '[^0-9]', '', 'g')) / nullif(length(tb), 0)::DOUBLE, 0) AS ts FROM b),
 x AS (
   SELECT row_order, CASE WHEN sw THEN tc ELSE nc END AS lc, CASE WHEN sw THEN nb ELSE tb END AS code
-  FROM (SELECT *, tb <> '' AND (nb = '' OR ns > ts OR (ns = ts AND (length(nb) < length(tb) OR (length(nb) = length(tb) AND list_sort(string_split(nb, '')) < list_sort(string_split(tb, '')))))) AS sw FROM o)),
+  FROM (SELECT *, tb <> '' AND (nb = '' OR CASE WHEN {_wordy("nc")} <> {_wordy("tc")} THEN {_wordy("tc")} ELSE (ns > ts OR (ns = ts AND (length(nb) < length(tb) OR (length(nb) = length(tb) AND list_sort(string_split(nb, '')) < list_sort(string_split(tb, '')))))) END) AS sw FROM o)),
 p AS (
-  SELECT row_order, code, string_split(array_to_string(list_transform(lc, lambda c, i: CASE WHEN c IN (',', ';', '/', '|') AND NOT (i > 1 AND regexp_full_match(lc[i - 1], '[0-9]') AND regexp_full_match(coalesce(lc[i + 1], ''), '[0-9]')) THEN chr(1) ELSE c END), ''), chr(1)) AS parts FROM x),
+  SELECT row_order, code, {_parts("lc")} AS parts FROM x),
 q AS (SELECT row_order, code, list_transform(parts, lambda s: string_split(s, '')) AS parts FROM p),
 k AS (SELECT row_order, array_to_string(list_sort(list_filter(list_transform(parts, lambda s: {_bare("s")}), lambda s: s <> '')), '|') || '#' || code AS key FROM q),
 g AS (SELECT row_order, min(row_order) OVER (PARTITION BY key) AS first_row_order, count(*) OVER (PARTITION BY key) AS copies FROM k WHERE key <> '#')

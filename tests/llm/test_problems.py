@@ -224,6 +224,8 @@ def test_format_duplicates(spark):
     twice = spark.createDataFrame([(1, "Лист 2, сталь 3", None), (5, "Сталь 3; лист 2", ""), (5, "Сталь 3; лист 2", ""), (7, None, "сталь 3 | лист 2")], "row_order long, name string, type_mark string")
     for hot in (1000, 1):
         assert sorted(tuple(r) for r in format_dups.copies(twice, hot_share=hot).collect()) == [(1, 5), (1, 7)]
+    figures = spark.createDataFrame([(1, "Лист 2000×3000, сталь 315", "АБВ"), (2, "АБВ", "сталь 315 | лист 2000×3000"), (3, "Лист 2000×3000", "АБ/В")], "row_order long, name string, type_mark string")
+    assert [tuple(r) for r in format_dups.copies(figures).collect()] == [(1, 2)]
     skewed = spark.range(1, 3001).select(F.col("id").alias("row_order"), F.when(F.col("id") % 3 == 0, "Лист").otherwise(F.concat(F.lit("Лист "), F.col("id"))).alias("name"), F.lit("").alias("type_mark"))
     assert format_dups.copies(skewed).agg(F.count("*"), F.min("first_id"), F.max("first_id")).collect()[0] == (999, 3, 3)
 
