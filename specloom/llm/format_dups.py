@@ -45,7 +45,8 @@ def canonical_keys(rows: DataFrame, name: Column, mark: Column) -> DataFrame:
     share = lambda b: F.coalesce(F.length(F.regexp_replace(b, r"\D+", "")) / F.nullif(F.length(b), F.lit(0)), F.lit(0.0))
     letters = lambda b: F.array_join(F.array_sort(F.split(b, "")), "")
     r = rows.withColumns({"_name": name, "_mark": mark}).withColumns({"_bn": bare(F.col("_name")), "_bm": bare(F.col("_mark"))}).withColumns({"_sn": share(F.col("_bn")), "_sm": share(F.col("_bm"))})
-    wordy = lambda c: F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), _SEPARATOR), lambda p: F.regexp_count(p, F.lit(r"\p{L}")) >= 3)) > 1
+    worded = lambda c: F.size(F.filter(F.split(F.col(c), _SEPARATOR), lambda p: F.regexp_count(p, F.lit(r"\p{L}")) >= 3)) > 1
+    wordy = lambda c: F.when(F.col(c).rlike("[,;/|]"), worded(c)).otherwise(False)
     r = r.withColumns({"_wn": wordy("_name"), "_wm": wordy("_mark")})
     shorter = F.when(F.length("_bn") == F.length("_bm"), letters(F.col("_bn")) < letters(F.col("_bm"))).otherwise(F.length("_bn") < F.length("_bm"))
     r = r.withColumn("_x", F.when(F.col("_bm") == "", False).when(F.col("_bn") == "", True).when(F.col("_wn") != F.col("_wm"), F.col("_wm")).when(F.col("_sn") == F.col("_sm"), shorter).otherwise(F.col("_sn") > F.col("_sm")))
